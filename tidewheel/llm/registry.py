@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import chat, licenses, mixing, near_dup, packing, pii
+from tidewheel.llm import chat, licenses, mixing, near_dup, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_chat_examples": chat.op2_chat_examples,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
+    "op5_line_quality": quality.op5_line_quality,
     "op6_personal_data": pii.op6_personal_data,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
