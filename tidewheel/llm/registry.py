@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import chat, licenses, mixing, near_dup, packing, pii, quality, token_counts
+from tidewheel.llm import chat, licenses, mixing, near_dup, packing, pii, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op5_line_quality": quality.op5_line_quality,
     "op6_personal_data": pii.op6_personal_data,
+    "op7_toxic_documents": toxicity.op7_toxic_documents,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
