@@ -6,14 +6,16 @@
    word of the frontier.
 3. Graph: an edge weighs the positive pointwise mutual information of two words in the lines of a language, less
    log(SHIFT), where the shared count is replaced by its lower confidence bound, so that chance neighbours of rare
-   words make no edge. The frontier is first the seeds, then what toxic seeds led to: HOPS rounds.
+   words make no edge. The frontier is first the seeds, then the words whose rate of visits from toxic
+   seeds reaches PUSH: HOPS rounds.
 4. Walks with restart from the toxic and from the clean seeds give each word two visiting rates; their
    normalised difference is its polarity; of several languages' polarities a word keeps the highest.
 5. A document's score is the sum of the positive polarities of its words over their number; the threshold is
    the one with the best F1 on the sample.
 
-Cost: HOPS + 2 scans; the shuffles move counts that each task has summed. The driver holds the
-words near the seeds, which the seeds' number and the confidence bound keep to a small part of the vocabulary.
+Cost: HOPS + 2 scans; the shuffles move counts that each task has summed. A frontier has
+at most 1 / PUSH words a language, since the rates add up to 1. The driver holds the words near the seeds,
+which their number and the confidence bound keep to a small part of the vocabulary.
 
 Defined cases: words are runs of letters, in lower case; null and blank texts score 0 and aren't toxic; without labelled
 documents of both kinds, or without seeds, no document is toxic; a null id is kept; rows that repeat an id each
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import table, written
 
 SAMPLE = 4000
-SEEDS = 40
+SEEDS, CLEAN_SEEDS = 40, 20
 #: Least z-score of a toxic seed; clean seeds need as many documents as CLEAN_DOCS.
 LEAST_Z, CLEAN_DOCS = 6.0, 20
 #: Words in a larger share of the labelled documents or lines are stop words.
@@ -45,6 +47,7 @@ SHIFT = 3.0
 #: Normal quantile of the lower bound of a count.
 BOUND_Z = 2.5
 HOPS = 2
+PUSH = 0.004
 RESTART = 0.3
 #: Words that a task counts before it hands its counts on.
 HELD = 400_000
@@ -100,7 +103,7 @@ def seeds(rows: list[tuple[str | None, bool]]) -> tuple[list[str], list[str]]:
     usual = lambda w: seen[0][w] + seen[1][w] <= STOP_SHARE * total
     bad = sorted(((z(w), w) for w, k in seen[1].items() if k >= 2 and usual(w)), key=lambda x: (-x[0], x[1]))
     good = sorted(((z(w), w) for w, k in seen[0].items() if k >= CLEAN_DOCS and k <= 0.02 * total + CLEAN_DOCS), key=lambda x: (x[0], x[1]))
-    return [w for v, w in bad[:SEEDS] if v >= LEAST_Z], [w for v, w in good[:SEEDS] if v < 0]
+    return [w for v, w in bad[:SEEDS] if v >= LEAST_Z], [w for v, w in good[:CLEAN_SEEDS] if v < 0]
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +132,17 @@ def line_counts(docs: DataFrame) -> DataFrame:
 
 def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, set[str]], counts: DataFrame) -> DataFrame:
     """(lang, a, b, weight) for each a of the language's frontier: the edges of the graph that it has."""
+    spark = docs.sparkSession
+    starts = [(x, a) for x in sorted(frontier) for a in sorted(frontier[x])]
+    place = {key: i for i, key in enumerate(starts)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, str, str]] = Counter()
+        held: dict[int, Counter[str]] = defaultdict(Counter)
+        size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in held], pa.string()) for i in range(3)), pa.array(list(held.values()), pa.int64())], ["lang", "a", "b", "both"])
+            at = [i for i, c in held.items() for _ in c]
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([w for c in held.values() for w in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int32())], ["at", "b", "both"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -145,31 +153,36 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
                     if not wanted.isdisjoint(found):
                         found -= usual
                         for a in wanted & found:
-                            held.update([(lang, a, w) for w in found if w != a])
-                if len(held) > HELD:
+                            c = held[place[lang, a]]
+                            size -= len(c)
+                            c.update(found)
+                            size += len(c)
+                if size > HELD:
                     yield out()
                     held.clear()
+                    size = 0
         if held:
             yield out()
 
-    both = light(docs).mapInArrow(run, "lang string, a string, b string, both long").groupBy("lang", "a", "b").agg(F.sum("both").alias("both"))
+    names = spark.createDataFrame([(i, *key) for i, key in enumerate(starts)], "at int, lang string, a string")
+    both = light(docs).mapInArrow(run, "at int, b string, both int").groupBy("at", "b").agg(F.sum("both").alias("both"))
+    both = both.filter(F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double")) > 0).join(names, "at").filter("a != b")
     bound = F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double"))
     ends = lambda x: counts.filter("word != ''").select("lang", F.col("word").alias(x), F.col("n").alias(f"n_{x}"))
     total = counts.filter("word = ''").select("lang", F.col("n").alias("n_lines"))
     return (
-        both.filter(bound > 0)
-        .join(ends("b"), ["lang", "b"]).join(ends("a"), ["lang", "a"]).join(total, "lang")
+        both.join(ends("b"), ["lang", "b"]).join(ends("a"), ["lang", "a"]).join(total, "lang")
         .withColumn("weight", F.log(bound * F.col("n_lines") / (F.col("n_a").cast("double") * F.col("n_b")) / SHIFT))
         .filter("weight > 0")
         .select("lang", "a", "b", "weight")
     )
 
 
-def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], restart: float = RESTART) -> dict[str, float]:
-    """Polarity of every word of the graph, from random walks with restart."""
+def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], restart: float = RESTART) -> tuple[dict[str, float], dict[str, float]]:
+    """Polarity, and the rate of visits from toxic seeds, of every word of the graph, from random walks with restart."""
     names = sorted({w for e in edges for w in e} | set(bad) | set(good))
     if not names or not bad:
-        return {}
+        return {}, {}
     at = {w: i for i, w in enumerate(names)}
     n = len(names)
     # either direction of an edge has its weight
@@ -193,7 +206,7 @@ def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], r
 
     plus, minus = visits(bad), visits(good)
     polarity = (plus - minus) / (plus + minus + 0.5 / n)
-    return dict(zip(names, polarity.tolist(), strict=True))
+    return dict(zip(names, polarity.tolist(), strict=True)), dict(zip(names, plus.tolist(), strict=True))
 
 
 def threshold(scores: list[tuple[float, bool]]) -> float:
@@ -225,23 +238,24 @@ def induce(docs: DataFrame, labels: DataFrame, hops: int = HOPS) -> Lexicon:
         stop.setdefault(r.lang, set()).add(r.word)
     edges: dict[str, dict[tuple[str, str], float]] = {x: {} for x in starts}
     frontier = {x: {*bad, *good} for x, (bad, good) in starts.items()}
-    toxic_side = {x: set(bad) for x, (bad, _) in starts.items()}
     done: dict[str, set[str]] = {x: set() for x in starts}
+    weights: dict[str, dict[str, float]] = {}
     for _ in range(hops):
         for r in neighbours(docs, frontier, stop, counts).collect():
             edges[r.lang][r.a, r.b] = r.weight
-        for x, e in edges.items():
+        for x, (bad, good) in starts.items():
             done[x] |= frontier[x]
-            toxic_side[x] |= {b for a, b in e if a in toxic_side[x]}
-        frontier = {x: toxic_side[x] - done[x] for x in starts}
+            polarity, visits = walk(edges[x], bad, good)
+            frontier[x] = {w for w, rate in visits.items() if rate >= PUSH} - done[x]
+            weights[x] = polarity
         if not any(frontier.values()):
             break
-    weights: dict[str, float] = {}
-    for x, (bad, good) in starts.items():
-        for w, value in walk(edges[x], bad, good).items():
-            weights[w] = max(round(value, 6), weights.get(w, -1.0))
-    scorer = Lexicon(weights, 0.0)
-    return Lexicon(weights, threshold([(scorer.score(t), toxic) for _, t, toxic in rows]))
+    merged: dict[str, float] = {}
+    for polarity in weights.values():
+        for w, value in polarity.items():
+            merged[w] = max(round(value, 6), merged.get(w, -1.0))
+    scorer = Lexicon(merged, 0.0)
+    return Lexicon(merged, threshold([(scorer.score(t), toxic) for _, t, toxic in rows]))
 
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
