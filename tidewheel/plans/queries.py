@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tidewheel.operators import activity as act
 from tidewheel.operators import aggregate as agg
 from tidewheel.operators import cosinor as cos
-from tidewheel.operators import model, prep
+from tidewheel.operators import consensus, methods, model, prep
 from tidewheel.operators.model import SERIES
-from tidewheel.sources import expression, sinks
+from tidewheel.sources import expression, sinks, synthetic
 
 NUDGE = 1.3e-9
 ZERO_US = 1704067200000000
@@ -475,3 +475,60 @@ def dead_channels(spark, sf):  # noqa: ANN001, ANN201
 @query(f"{DEAD} SELECT z.condition, z.subject, count(*)::BIGINT AS n FROM z LEFT JOIN dead ON dead.condition = z.condition AND dead.subject = z.subject WHERE dead.condition IS NULL GROUP BY ALL")
 def anti_join_dead(spark, sf):  # noqa: ANN001, ANN201
     return act.alive(quiet(spark, sf), 24.0).groupBy("condition", "subject").agg(F.count("*").alias("n"))
+
+
+# --- methods without SQL: kernels over grouped series
+
+
+def daily_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of every second hour over six days: series of the length that rank methods are made for."""
+    h = raw(spark, sf).filter("time < 144").withColumn("time", F.floor(F.col("time") / 2) * 2.0)
+    return agg.mean_series(h)
+
+
+def _method(name: str, method: str, source=daily_shape, **how) -> None:  # noqa: ANN001
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return methods.detect(source(spark, sf), method, **how)
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name in ("jtk", "jtk_sweep", "asymmetric_jtk", "ar_jtk", "cosine_kendall", "harmonic_cosinor", "fourier_score", "spectral", "wavelet", "damped"):
+    _method(_name, _name)
+_method("robust_single", "robust")
+_method("mixed_model", "mixed", lambda spark, sf: hourly(spark, sf, [*SERIES, "subject"]))
+_counts = lambda spark, sf: raw(spark, sf).filter("time < 336").groupBy(*SERIES, F.floor("time").cast("double").alias("time")).agg(F.count("*").cast("double").alias("value"))
+_method("count_poisson", "count", _counts)
+_method("count_best", "best_count", _counts, kinds=("poisson", "nb"), components=(1, 2))
+
+
+@query()
+def robust_compare(spark, sf):  # noqa: ANN001, ANN201
+    long = daily_shape(spark, sf)
+    return methods.compare(long, agg.condition_pairs(long))
+
+
+@query()
+def detrend_polynomial(spark, sf):  # noqa: ANN001, ANN201
+    return prep.clean(hourly(spark, sf), prep.Steps(detrend="polynomial", degree=3))
+
+
+@query()
+def smooth_savitzky_golay(spark, sf):  # noqa: ANN001, ANN201
+    return prep.clean(hourly(spark, sf), prep.Steps(smooth="savitzky_golay", smooth_rows=7))
+
+
+@query()
+def smooth_butterworth(spark, sf):  # noqa: ANN001, ANN201
+    return prep.clean(hourly(spark, sf), prep.Steps(smooth="butterworth", cutoff_hours=12))
+
+
+@query()
+def synthetic_instances(spark, sf):  # noqa: ANN001, ANN201
+    return synthetic.instances(spark, 100)
+
+
+@query()
+def consensus_score(spark, sf):  # noqa: ANN001, ANN201
+    return consensus.predict(daily_shape(spark, sf), consensus.train(spark, 240, 60))
