@@ -1,0 +1,210 @@
+"""Operators that SQL can't express, against brute force, round trips or held-out accuracy."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tidewheel.llm import crf, hnsw, near_dup, packing, pii, quality, token_counts, toxicity
+from tidewheel.llm.common import shared_dir, table
+
+
+def best_fit(lengths, capacity):
+    """Best-fit decreasing one piece at a time: rooms of all bins."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            i = min(fits, key=lambda k: rooms[k])
+        else:
+            rooms.append(capacity)
+            i = len(rooms) - 1
+        rooms[i] -= n
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_fit(seed):
+    r = random.Random(seed)
+    capacity = r.choice([10, 37, 64])
+    lengths = [min(capacity, 1 + int(r.expovariate(4 / capacity))) for _ in range(r.randint(1, 400))]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    rows = packing.plan(histogram, capacity)
+    used, taken = {}, {n: [] for n in histogram}
+    for p in rows.itertuples():
+        for k in range(p.rank_from, p.rank_to):
+            i = k - p.rank_from
+            slot = (p.bin_from + i // p.per_bin, p.offset + i % p.per_bin * p.length)
+            used.setdefault(slot[0], []).append((slot[1], p.length))
+            taken[p.length].append(k)
+    assert all(sorted(taken[n]) == list(range(k)) for n, k in histogram.items())
+    for pieces in used.values():
+        pieces.sort()
+        assert all(a + n <= b for (a, n), (b, _) in zip(pieces, pieces[1:], strict=False)) and pieces[-1][0] + pieces[-1][1] <= capacity
+    assert sorted(capacity - sum(n for _, n in p) for p in used.values()) == best_fit(lengths, capacity)
+
+
+def test_packing_slots_do_not_overlap(spark, small):
+    got = packing.pack(table(spark, small, "documents"), 512).toPandas().sort_values(["bin_id", "bin_offset"])
+    end = got.bin_offset + got.n_tokens
+    same = got.bin_id.eq(got.bin_id.shift(-1))
+    assert (end[same] <= got.bin_offset.shift(-1)[same]).all() and end.max() <= 512
+    words = {r.doc_id: len((r.text or "").split()) for r in table(spark, small, "documents").collect()}
+    assert got.groupby("doc_id").n_tokens.sum().to_dict() == {k: n for k, n in words.items() if n}
+
+
+def naive_signature(text):
+    data = np.frombuffer(text.lower().encode(), np.uint8)
+    hashes, word = [], None
+    for b in [*data.tolist(), 0]:
+        if near_dup._WORD[b]:
+            word = [*(word or []), b]
+        elif word:
+            h = sum((c + 1) * pow(int(near_dup._R), i, 2**64) for i, c in enumerate(word)) % 2**64
+            hashes.append(int(near_dup._mix(np.array([h], np.uint64))[0]))
+            word = None
+    if not hashes:
+        return None
+    shingles = [hashes[i : i + near_dup.SHINGLE] for i in range(max(1, len(hashes) - near_dup.SHINGLE + 1))]
+    sums = np.array([sum(h * int(c) for h, c in zip(s, near_dup._C, strict=False)) % 2**64 for s in shingles], np.uint64)
+    return (((near_dup._mix(sums)[None] * near_dup._A + near_dup._B).min(1)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def test_signatures_match_a_naive_version():
+    texts = ["a b c d", "", None, "one", "Two words!", "éa\nb  c, d-e", "x " * 3000 + "end", "a b c d"]
+    at, sig = near_dup.signatures(pa.array(texts))
+    want = [(i, naive_signature(t or "")) for i, t in enumerate(texts)]
+    assert at.tolist() == [i for i, w in want if w is not None]
+    assert (sig == np.array([w for _, w in want if w is not None])).all()
+
+
+def test_pairs_match_all_pairs(spark):
+    r = random.Random(3)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choices(vocab, k=r.randint(5, 60))) for _ in range(60)]
+    for i in range(90):
+        words = r.choice(texts).split()
+        for _ in range(r.randint(0, len(words) // 6 + 1)):
+            words[r.randrange(len(words))] = r.choice(vocab)
+        texts.append(" ".join(words))
+    shared = " ".join(vocab[:12])
+    texts += [shared + " " + " ".join(r.choices(vocab, k=15)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, sig = near_dup.signatures(pa.array(texts))
+    rep = {}
+    for i, s in enumerate(map(bytes, sig)):
+        rep.setdefault(s, i)
+    reps = sorted(rep.values())
+    want = {(a, b, int((sig[a] == sig[b]).sum())) for a in reps for b in reps if a < b and (sig[a] == sig[b]).sum() >= near_dup.MATCHES}
+    want |= {(rep[bytes(s)], i, near_dup.COORDS) for i, s in enumerate(sig) if rep[bytes(s)] != i}
+    assert {tuple(x) for x in near_dup.pairs(docs).collect()} == want and len(want) > 30
+    group = list(range(len(texts)))
+    for a, b, _ in sorted(want):
+        x, y = group[a], group[b]
+        group = [min(x, y) if g in (x, y) else g for g in group]
+    assert {x.doc_id for x in near_dup.dedup(docs).collect()} == {i for i, g in enumerate(group) if g == i}
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    m = crf.Model(rng.normal(size=(6, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3))
+    for n in (1, 2, 5):
+        x = rng.integers(-1, 5, (n, 2))
+        e = m.scores(x)
+        paths = np.array(np.meshgrid(*[range(3)] * n)).reshape(n, -1).T
+        score = [m.first[p[0]] + m.last[p[-1]] + sum(e[i, k] for i, k in enumerate(p)) + sum(m.move[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths]
+        assert crf.decode([x, x[:1]], m)[0].tolist() == paths[int(np.argmax(score))].tolist()
+
+
+def test_training_finds_the_chain():
+    rng = np.random.default_rng(1)
+    y = [np.cumsum(rng.random(40) < 0.08) % 2 for _ in range(120)]
+    x = [np.where(rng.random(40) < 0.8, v, 1 - v)[:, None] for v in y]
+    m = crf.train(x, y, 2, 2)
+    right = np.mean([np.mean(a == b) for a, b in zip(crf.decode(x, m), y, strict=True)])
+    assert right > 0.86 > 0.03 + np.mean([np.mean(a[:, 0] == b) for a, b in zip(x, y, strict=True)])
+    assert abs((m.emit[0, 0] - m.emit[0, 1]) - np.log(4)) < 0.3 and abs((m.move[0, 0] - m.move[0, 1]) - np.log(0.92 / 0.08)) < 0.4
+
+
+def test_pii_parts_decode_as_the_whole_text():
+    tag = pii.tagger()
+    r = random.Random(5)
+    filler = lambda k: " ".join(r.choice(["la", "tor", "Ministre,", "vel."]) for _ in range(k))
+    for _ in range(15):
+        text = " ".join([filler(r.randint(0, 60)), "ana.7@mail.example.com", filler(r.randint(0, 40)), "12", filler(r.randint(0, 25)), "10.0.0.9", filler(r.randint(0, 60))]).strip()
+        spans = [m.span() for m in pii.TOKEN.finditer(text)]
+        labels = crf.decode([tag.features(text, spans)], tag.model)[0]
+        whole, previous = [], 0
+        for k, (a, b) in zip(labels, spans, strict=True):
+            if k and k == previous:
+                whole[-1] = (*whole[-1][:2], b)
+            elif k:
+                whole.append((pii.KINDS[k], a, b))
+            previous = k
+        assert tag.find([text])[0] == whole
+
+
+def test_pii_on_held_out_rows():
+    tag, table_ = pii.tagger(), pii.labelled(300, 99)
+    found = tag.find([t for t, _ in table_])
+    want = [{(k, a, b) for a, b, k in s} for _, s in table_]
+    hit = sum(len(w & set(f)) for w, f in zip(want, found, strict=True))
+    assert hit / sum(map(len, want)) > 0.93 and hit / sum(map(len, found)) > 0.93
+
+
+def test_quality_on_held_out_labels(spark, small):
+    sf = small.replace("0.001", "0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = quality.judge(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad = [r.keep for r in got if r.quality], [r.keep for r in got if not r.quality]
+    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.15
+
+
+def test_toxicity_on_held_out_labels(spark, small):
+    sf = small.replace("0.001", "0.1")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    lexicon = toxicity.induce(docs, labels.filter("doc_id % 4 != 0"))
+    got = toxicity.scores(docs.join(labels.filter("doc_id % 4 = 0").withColumnRenamed("toxic", "marked"), "doc_id"), lexicon).select("toxic", "marked").collect()
+    assert np.mean([r.toxic for r in got if r.marked]) > 0.85 and np.mean([r.toxic for r in got if not r.marked]) < 0.02
+
+
+def test_walk_prefers_the_seeds_side():
+    edges = {(a, b): 1.0 for a in ("x1", "x2", "x3") for b in ("bad",)} | {("y1", "good"): 1.0, ("y1", "x1"): 0.1}
+    polarity, _ = toxicity.walk(edges, ["x1", "x2", "x3"], ["y1"])
+    assert polarity["bad"] > 0 > polarity["good"] and polarity["x1"] > 0
+
+
+def test_token_counts_round_trip_and_cache(spark, small, monkeypatch):
+    docs = table(spark, small, "documents")
+    cache = f"{shared_dir(spark)}/cache-test"
+    enc = token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
+    got = {r.doc_id: r for r in token_counts.counts(docs, cache).collect()}
+    for r in docs.collect()[:50]:
+        ids = enc.encode_ordinary(r.text.strip(" \t\n"))
+        assert enc.decode(ids) == r.text.strip(" \t\n") and got[r.doc_id].n_tokens == len(ids)
+    before = spark.read.parquet(cache).count()
+    again = {r.doc_id: r.n_tokens for r in token_counts.counts(docs, cache).collect()}
+    assert again == {k: r.n_tokens for k, r in got.items()} and spark.read.parquet(cache).count() == before == len({r.content for r in got.values() if r.content})
+
+
+def test_neighbours_recall(spark, small):
+    rows = table(spark, small.replace("0.001", "0.1"), "embeddings")
+    pdf = rows.toPandas()
+    x = np.stack(pdf.embedding).astype(np.float32)
+    got = hnsw.neighbours(rows, 10, shard_rows=700).toPandas()
+    d = np.square(x).sum(1)[:, None] + np.square(x).sum(1)[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    ids = pdf.vec_id.to_numpy()
+    true = {int(ids[i]): set(ids[np.argsort(d[i])[:10]]) for i in range(len(ids))}
+    assert (got.groupby("vec_id").size() == 10).all() and got.vec_id.nunique() == len(ids)
+    recall = np.mean([len(true[k] & set(g.neighbour)) / 10 for k, g in got.groupby("vec_id")])
+    assert recall >= 0.9
+
+
+def test_index_row_round_trip():
+    x = np.random.default_rng(0).normal(size=(300, 8)).astype(np.float32)
+    g = hnsw.build(x)
+    ids, back = hnsw.unpacked(hnsw.packed(0, np.arange(300), g).iloc[0])
+    assert all((a[1] == b[1])[a[0]].all() for a, b in zip(g.levels, back.levels, strict=True))
+    assert (hnsw.search(g, x, 5)[0] == hnsw.search(back, x, 5)[0]).all() and ids.tolist() == list(range(300))

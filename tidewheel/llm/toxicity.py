@@ -1,7 +1,7 @@
 """Toxicity by lexicon induction: random walks over a word graph carry the polarity of labelled seed terms to other words.
 
 1. Seeds: in each language, words whose share of labelled toxic documents differs most from that of the others
-   (z-score), toxic and clean ones, from a sample of at most SAMPLE labelled documents.
+   (z-score), toxic and clean ones, from a sample of at most SAMPLE labelled documents, near copies in it counted once.
 2. Counts over all documents: in how many lines of a language each word stands, and in how many together with a
    word of the frontier.
 3. Graph: an edge weighs the positive pointwise mutual information of two words in the lines of a language, less
@@ -9,7 +9,7 @@
    words make no edge. The frontier is first the seeds, then the words whose rate of visits from toxic
    seeds reaches PUSH: HOPS rounds.
 4. Walks with restart from the toxic and from the clean seeds give each word two visiting rates; their
-   normalised difference is its polarity; of several languages' polarities a word keeps the highest.
+   difference over their sum and PRIOR seeds' rate is its polarity, and only words with edges to SUPPORT toxic seeds get a positive one; of several languages' polarities a word keeps the highest.
 5. A document's score is the sum of the positive polarities of its words over their number; the threshold is
    the one with the best F1 on the sample.
 
@@ -35,20 +35,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.llm import near_dup
 from tidewheel.llm.common import table, written
 
-SAMPLE = 4000
+SAMPLE = 5000
 SEEDS, CLEAN_SEEDS = 40, 20
 #: Least z-score of a toxic seed; clean seeds need as many documents as CLEAN_DOCS.
-LEAST_Z, CLEAN_DOCS = 6.0, 20
-#: Words in a larger share of the labelled documents or lines are stop words.
-STOP_SHARE = 0.05
+LEAST_Z, CLEAN_DOCS = 7.0, 20
+#: Words in a larger share of the labelled documents are no seeds; in a larger share of the lines, no neighbours.
+SEED_SHARE, STOP_SHARE = 0.25, 0.05
 SHIFT = 3.0
 #: Normal quantile of the lower bound of a count.
 BOUND_Z = 2.5
 HOPS = 2
 PUSH = 0.004
 RESTART = 0.3
+PRIOR = 0.25
+#: Distinct toxic seeds that a word must have edges with to get a positive polarity or into the frontier.
+SUPPORT = 3
 #: Words that a task counts before it hands its counts on.
 HELD = 400_000
 
@@ -85,6 +89,33 @@ def light(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
+def without_copies(rows: list[tuple[str, str | None, bool]]) -> list[tuple[str, str | None, bool]]:
+    """The rows, of near copies with one label only the first."""
+    at, sig = np.zeros(0, int), np.zeros((0, near_dup.COORDS), np.int32)
+    for lo in range(0, len(rows), 256):
+        some, values = near_dup.signatures(pa.array([r[1] or "" for r in rows[lo : lo + 256]], pa.string()))
+        at, sig = np.concatenate([at, some + lo]), np.concatenate([sig, values])
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for c in range(sig.shape[1]):
+        first: dict[int, int] = {}
+        for k, v in enumerate(sig[:, c].tolist()):
+            j = first.setdefault(v, k)
+            if j != k and root(int(at[j])) != root(int(at[k])) and (sig[j] == sig[k]).sum() >= near_dup.MATCHES:
+                a, b = sorted((root(int(at[j])), root(int(at[k]))))
+                parent[b] = a
+    kept: dict[tuple[int, bool], tuple[str, str | None, bool]] = {}
+    for i, r in enumerate(rows):
+        kept.setdefault((root(i), r[2]), r)
+    return list(kept.values())
+
+
 def seeds(rows: list[tuple[str | None, bool]]) -> tuple[list[str], list[str]]:
     """Toxic and clean seed terms, by the z-score of their document shares in the two classes."""
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
@@ -100,7 +131,7 @@ def seeds(rows: list[tuple[str | None, bool]]) -> tuple[list[str], list[str]]:
         p = (seen[0][w] + seen[1][w]) / total
         return (seen[1][w] / n[1] - seen[0][w] / n[0]) / math.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1])) if p < 1 else 0.0
 
-    usual = lambda w: seen[0][w] + seen[1][w] <= STOP_SHARE * total
+    usual = lambda w: seen[0][w] + seen[1][w] <= SEED_SHARE * total
     bad = sorted(((z(w), w) for w, k in seen[1].items() if k >= 2 and usual(w)), key=lambda x: (-x[0], x[1]))
     good = sorted(((z(w), w) for w, k in seen[0].items() if k >= CLEAN_DOCS and k <= 0.02 * total + CLEAN_DOCS), key=lambda x: (x[0], x[1]))
     return [w for v, w in bad[:SEEDS] if v >= LEAST_Z], [w for v, w in good[:CLEAN_SEEDS] if v < 0]
@@ -136,6 +167,18 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
     starts = [(x, a) for x in sorted(frontier) for a in sorted(frontier[x])]
     place = {key: i for i, key in enumerate(starts)}
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs: list[str] = []
+            words: list[str] = []
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                wanted, usual = frontier.get(lang), stop.get(lang, set())
+                if wanted:
+                    here = [" ".join(sorted(found - usual)) for found in line_words(text) if not wanted.isdisjoint(found)]
+                    words += here
+                    langs += [lang] * len(here)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter[str]] = defaultdict(Counter)
         size = 0
@@ -145,18 +188,13 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([w for c in held.values() for w in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int32())], ["at", "b", "both"])
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                wanted, usual = frontier.get(lang), stop.get(lang, set())
-                if not wanted:
-                    continue
-                for found in line_words(text):
-                    if not wanted.isdisjoint(found):
-                        found -= usual
-                        for a in wanted & found:
-                            c = held[place[lang, a]]
-                            size -= len(c)
-                            c.update(found)
-                            size += len(c)
+            for lang, words in zip(b.column("lang").to_pylist(), b.column("words").to_pylist(), strict=True):
+                found = words.split(" ")
+                for a in frontier[lang].intersection(found):
+                    c = held[place[lang, a]]
+                    size -= len(c)
+                    c.update(found)
+                    size += len(c)
                 if size > HELD:
                     yield out()
                     held.clear()
@@ -165,7 +203,9 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
             yield out()
 
     names = spark.createDataFrame([(i, *key) for i, key in enumerate(starts)], "at int, lang string, a string")
-    both = light(docs).mapInArrow(run, "at int, b string, both int").groupBy("at", "b").agg(F.sum("both").alias("both"))
+    # lines of the same words count once, so that a passage that many documents repeat is one line
+    once = light(docs).mapInArrow(lines, "lang string, words string").groupBy("lang", F.xxhash64("words").alias("h")).agg(F.first("words").alias("words"))
+    both = once.select("lang", "words").mapInArrow(run, "at int, b string, both int").groupBy("at", "b").agg(F.sum("both").alias("both"))
     both = both.filter(F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double")) > 0).join(names, "at").filter("a != b")
     bound = F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double"))
     ends = lambda x: counts.filter("word != ''").select("lang", F.col("word").alias(x), F.col("n").alias(f"n_{x}"))
@@ -179,7 +219,7 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
 
 
 def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], restart: float = RESTART) -> tuple[dict[str, float], dict[str, float]]:
-    """Polarity, and the rate of visits from toxic seeds, of every word of the graph, from random walks with restart."""
+    """Polarity, and the rate of visits from toxic seeds (0 without SUPPORT), of every word of the graph, from random walks with restart."""
     names = sorted({w for e in edges for w in e} | set(bad) | set(good))
     if not names or not bad:
         return {}, {}
@@ -205,7 +245,12 @@ def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], r
         return p
 
     plus, minus = visits(bad), visits(good)
-    polarity = (plus - minus) / (plus + minus + 0.5 / n)
+    polarity = (plus - minus) / (plus + minus + PRIOR * plus[[at[w] for w in bad]].mean())
+    starts = np.zeros(n, bool)
+    starts[[at[w] for w in bad]] = True
+    support = np.bincount(dst, starts[src], n) if len(keys) else np.zeros(n)
+    found = starts | (support >= SUPPORT)
+    polarity, plus = np.where(found, polarity, np.minimum(polarity, 0)), np.where(found, plus, 0)
     return dict(zip(names, polarity.tolist(), strict=True)), dict(zip(names, plus.tolist(), strict=True))
 
 
@@ -225,7 +270,7 @@ def threshold(scores: list[tuple[float, bool]]) -> float:
 
 
 def induce(docs: DataFrame, labels: DataFrame, hops: int = HOPS) -> Lexicon:
-    rows = labelled(docs, labels)
+    rows = without_copies(labelled(docs, labels))
     langs = sorted({r[0] for r in rows})
     starts = {x: seeds([(t, y) for lang, t, y in rows if lang == x]) for x in langs}
     starts = {x: s for x, s in starts.items() if s[0]}
