@@ -32,7 +32,7 @@ from tidewheel.llm.common import table
 
 KINDS = ["OTHER", "EMAIL", "PHONE", "IP", "CARD", "SECRET"]
 #: Rows of the labelled table, and its seed.
-ROWS, SEED = 800, 11
+ROWS, SEED = 1000, 11
 TOKEN = re.compile(r"\w+|[^\w\s]")
 ANCHOR = re.compile(r"[\d@]")
 KEYWORDS = {"token", "key", "secret", "password", "passwd", "apikey", "auth", "bearer"}
@@ -103,6 +103,7 @@ def labelled(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, list[tuple[i
         "SECRET": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))),
     }
     harmless = [
+        lambda: str(r.randint(1, 999)), lambda: digits(r.randint(1, 4)), lambda: f"{word()} {r.randint(1, 999)}.", lambda: f"{r.randint(1, 255)}. {word()}", lambda: f"{r.randint(1, 999)}, {r.randint(1, 999)}.",
         lambda: f"version {r.randint(1, 9)}", lambda: f"Version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"BY-NC {r.randint(1, 4)}.0",
         lambda: f"v{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 30)}", lambda: str(r.randint(1900, 2030)), lambda: f"{r.randint(1900, 2030)}-0{r.randint(1, 9)}-{r.randint(10, 28)}",
         lambda: f"{r.randint(0, 23)}:{r.randint(10, 59)}", lambda: f"${r.randint(1, 999)}.{digits(2)}", lambda: f"{r.randint(1, 99)}%", lambda: digits(r.randint(5, 10)), lambda: f"({r.randint(1, 40)})",
@@ -133,7 +134,7 @@ def labelled(rows: int = ROWS, seed: int = SEED) -> list[tuple[str, list[tuple[i
                 text += before
                 spans.append((len(text), len(text) + len(value), kind))
                 text += value + after
-            elif r.random() < 0.12:
+            elif r.random() < 0.2:
                 text += r.choice(harmless)()
             else:
                 text += word().capitalize() if r.random() < 0.15 else word().upper() if style == "upper" else word()
