@@ -38,7 +38,7 @@ def adjusted(results: DataFrame, p: str = "p_value", family: list[str] | None =
     fam = Window.partitionBy(*(family or [F.lit(0)]))
     n = F.count(p).over(fam)
     rank = F.rank().over(fam.orderBy(F.col(p).asc_nulls_last())) + F.count(p).over(Window.partitionBy(*(family or []), p)) - 1
-    raw = results.withColumn("q_bonferroni", F.least(F.col(p) * n, F.lit(1.0))).withColumn("_q", F.col(p) * n / rank)
+    raw = results.withColumn("q_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.col(p) * n, F.lit(1.0)))).withColumn("_q", F.col(p) * n / rank)
     up = fam.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
     return raw.withColumn("q_bh", F.when(F.col(p).isNotNull(), F.least(F.min("_q").over(up), F.lit(1.0)))).drop("_q")
 

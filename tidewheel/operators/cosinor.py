@@ -45,7 +45,7 @@ def solved(sums: DataFrame, keys: list[str], n_periods: int = 1) -> DataFrame:
     fine = (F.col("n") >= 4) & (det > 1e-12) & (F.col("yy") > 0)
     b = F.when(fine, (F.col("cy") * F.col("ss") - F.col("sy") * F.col("cs")) / det)
     g = F.when(fine, (F.col("sy") * F.col("cc") - F.col("cy") * F.col("cs")) / det)
-    r2 = F.least(F.greatest((F.col("_b") * F.col("cy") + F.col("_g") * F.col("sy")) / F.col("yy"), F.lit(0.0)), F.lit(1.0))
+    r2 = F.when(F.col("_b").isNotNull(), F.least(F.greatest((F.col("_b") * F.col("cy") + F.col("_g") * F.col("sy")) / F.col("yy"), F.lit(0.0)), F.lit(1.0)))
     phase = wrapped(F.atan2("_g", "_b"))
     return (
         sums.withColumn("_b", b).withColumn("_g", g).withColumn("r2", r2)
@@ -54,7 +54,7 @@ def solved(sums: DataFrame, keys: list[str], n_periods: int = 1) -> DataFrame:
             *keys, "period", "n", (F.col("my") - F.col("_b") * F.col("mc") - F.col("_g") * F.col("ms")).alias("mesor"),
             F.sqrt(F.col("_b") * F.col("_b") + F.col("_g") * F.col("_g")).alias("amplitude"), phase.alias("acrophase"),
             hours(phase, F.col("period")).alias("peak_hour"), F.col("_b").alias("beta_cos"), F.col("_g").alias("beta_sin"), "r2", "p_value",
-            F.least(F.col("p_value") * n_periods, F.lit(1.0)).alias("p_adjusted"), F.col("_b").isNotNull().alias("success"),
+            F.when(F.col("p_value").isNotNull(), F.least(F.col("p_value") * n_periods, F.lit(1.0))).alias("p_adjusted"), F.col("_b").isNotNull().alias("success"),
         )
     )
 
@@ -114,8 +114,8 @@ def lomb_scargle(long: DataFrame, periods: Sequence[float], keys: list[str] = SE
     single = F.pow(1 - F.col("power"), (F.col("n") - 3) / 2)
     return (
         out.withColumn("_t", tau)
-        .withColumn("power", F.when(F.col("n") >= 4, F.least(F.greatest(power, F.lit(0.0)), F.lit(1.0))))
-        .withColumn("fap", F.least(F.greatest(1 - F.pow(1 - single, F.col("n")), F.lit(0.0)), F.lit(1.0)))
+        .withColumn("power", F.when((F.col("n") >= 4) & (F.col("vy") > 0), F.least(F.greatest(power, F.lit(0.0)), F.lit(1.0))))
+        .withColumn("fap", F.when(F.col("power").isNotNull(), F.least(F.greatest(1 - F.pow(1 - single, F.col("n")), F.lit(0.0)), F.lit(1.0))))
         .select(*keys, "period", "n", "power", "fap")
     )
 

@@ -21,7 +21,7 @@ def cell_counts(spark: SparkSession, glob: str) -> DataFrame:
     clean = lambda c: F.btrim(c, F.lit('" '))
     long = cells.select("file", clean(F.get("_v", F.lit(0))).alias("gene"), F.posexplode(F.slice(F.arrays_zip(F.col("_h").alias("h"), F.col("_v").alias("v")), F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0)))).alias("_i", "_p"))
     part = lambda i: F.regexp_extract("file", r"GSM\d+_([^_]+)_([^_]+)_([^_.]+)", i)
-    return long.select("gene", clean(F.col("_p.h")).alias("cell_id"), F.expr("try_cast(_p.v as double)").alias("value"), part(1).alias("timepoint"), part(2).alias("date"), part(3).alias("batch"))
+    return long.select("gene", clean(F.col("_p.h")).alias("cell_id"), F.expr("try_cast(btrim(_p.v, '\" ') as double)").alias("value"), part(1).alias("timepoint"), part(2).alias("date"), part(3).alias("batch"))
 
 
 def cell_fields(cells: DataFrame) -> DataFrame:

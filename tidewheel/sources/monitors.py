@@ -78,7 +78,7 @@ def read_wheels(spark: SparkSession, paths: str | Sequence[str], sample_minutes:
     of three whole numbers in a row among lines 3 to 19; negative or unreadable values are null. sample_minutes isn't in the file."""
     files = spark.read.option("encoding", "ISO-8859-1").text(list(paths) if not isinstance(paths, str) else paths, wholetext=True)
     lines = F.transform(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n"), F.btrim)
-    whole = lambda c: c.rlike(r"^\d+$")
+    whole = lambda c: c.rlike(r"^-?\d+$")
     runs = F.filter(F.sequence(F.lit(3), F.lit(19)), lambda i: whole(F.get("l", i)) & whole(F.get("l", i + 1)) & whole(F.get("l", i + 2)))
     date = F.split(F.get("l", F.lit(1)), "-")
     year = F.expr("try_cast(d[2] as int)")
