@@ -107,6 +107,17 @@ def test_fits():
     assert m["amplitude"] == pytest.approx(3, abs=0.2) and m["p_value"] < 1e-10 and m["group_variance"] > 1
 
 
+def test_components_and_pooled_tests():
+    t = np.arange(0, 96, 1.0)
+    y = series(t=t, seed=3) + 1.5 * np.cos(2 * np.pi * (t - 2) / 12)
+    c = fits.components(t, y, [22, 24, 26])
+    assert (c["period"], c["components"]) == (24, 2) and fits.components(t, series(t=t, seed=3), [24])["components"] == 1
+    g = np.repeat([0, 1], len(t))
+    same = fits.pooled(np.tile(t, 2), np.append(series(t=t), series(t=t, seed=5)), g)
+    other = fits.pooled(np.tile(t, 2), np.append(series(t=t), 2 + series(t=t, peak=9, seed=5)), g)
+    assert same["p_difference"] > 0.01 > other["p_difference"] and same["p_rhythm"] < 1e-9 and other["p_mean"] < 1e-9
+
+
 def test_count_models():
     rng = np.random.default_rng(4)
     t = np.tile(np.arange(0, 48, 1.0), 4)

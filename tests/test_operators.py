@@ -29,6 +29,8 @@ def test_cosinor_recovers_the_truth(long):
     assert got["v", "b"].p_value < 1e-10 and not got["w", "a"].success and got["flat", "a"].r2 is None
     best = cosinor.best_period(cosinor.cosinor(long.filter("variable = 'v'"), cosinor.grid(20, 28, 0.5)))
     assert all(abs(r.period - 24) <= 0.5 for r in best.collect())
+    top = cosinor.predict(cosinor.cosinor(long), 24).filter("condition = 'a' and variable = 'v'").orderBy(F.desc("fitted")).first()
+    assert top.time == 3.0 and top.fitted == pytest.approx(12, abs=0.2)
     diff = api.compare(long.filter("variable = 'v'"), "least_squares").first()
     assert diff.d_peak_hour == pytest.approx(6, abs=0.3) and diff.d_amplitude == pytest.approx(0.4, abs=0.15)
 
@@ -52,7 +54,7 @@ def test_methods_never_raise(long, name):
 
 def test_robust_compare(long):
     r = api.compare(long.filter("variable = 'v'")).first()
-    assert r.success and r.d_hours == pytest.approx(6, abs=0.3) and r.d_amplitude_differs
+    assert r.success and r.d_hours == pytest.approx(6, abs=0.3) and r.d_amplitude_differs and r.p_difference < 1e-9
 
 
 def test_cleaning(spark):

@@ -297,3 +297,37 @@ def resampled_intervals(t: np.ndarray, y: np.ndarray, kind: str, components: int
         rows.append((f["amplitude"], f["mesor"]))
     m, s = np.mean(rows, 0), np.std(rows, 0)
     return {"amplitude_lo": m[0] - 1.96 * s[0], "amplitude_hi": m[0] + 1.96 * s[0], "mesor_lo": m[1] - 1.96 * s[1], "mesor_hi": m[1] + 1.96 * s[1]}
+
+
+def components(t: np.ndarray, y: np.ndarray, periods: Sequence[float], most: int = 3, alpha: float = 0.05) -> dict:
+    """The best period with one harmonic, then as many harmonics at it as nested F tests ask for."""
+    best = harmonic(t, y, periods, 1)
+    period, n = best["period"], len(y)
+    rss, k = least_squares(design(t, period, 1), y)[2], 1
+    for more in range(2, most + 1):
+        new = least_squares(design(t, period, more), y)[2]
+        dof = n - 2 * more - 1
+        if dof <= 0 or new <= 0 or stats.f_tail((rss - new) / (2 * (more - k)) / (new / dof), 2 * (more - k), dof) >= alpha:
+            break
+        rss, k = new, more
+    ll = -n / 2 * (math.log(TAU * rss / n) + 1) if rss > 0 else math.inf
+    return harmonic(t, y, [period], k) | {"components": k, "aic": 2 * (2 * k + 1) - 2 * ll, "bic": (2 * k + 1) * math.log(n) - 2 * ll}
+
+
+def pooled(t: np.ndarray, y: np.ndarray, g: np.ndarray, period: float = 24.0, harmonics: int = 1) -> dict:
+    """One regression for both groups with interactions: tests of any rhythm, of a difference in rhythm, and of a difference in mean."""
+    base = design(t, period, harmonics)
+    wave = base[:, 1:]
+    full = np.column_stack([base, g, wave * g[:, None]])
+    rss = least_squares(full, y)[2]
+    dof = len(y) - full.shape[1]
+
+    def test(x: np.ndarray) -> float:
+        d = full.shape[1] - x.shape[1]
+        return stats.f_tail((least_squares(x, y)[2] - rss) / d / (rss / dof), d, dof) if dof > 0 and rss > 0 else math.nan
+
+    return {
+        "p_rhythm": test(np.column_stack([np.ones(len(y)), g])),
+        "p_difference": test(np.column_stack([base, g])),
+        "p_mean": test(np.column_stack([base, wave * g[:, None]])),
+    }

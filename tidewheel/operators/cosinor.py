@@ -85,6 +85,13 @@ def pair_differences(fits: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def predict(fits: DataFrame, points: int = 100, keys: list[str] = SERIES) -> DataFrame:
+    """The fitted curves over one period: (keys, period, time, fitted)."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    curve = fits.filter("success").withColumn("_i", at).withColumn("time", F.col("_i") * F.col("period") / points)
+    return curve.select(*keys, "period", "time", (F.col("mesor") + F.col("amplitude") * F.cos(angle(F.col("time") - F.col("peak_hour"), F.col("period")))).alias("fitted"))
+
+
 def lomb_scargle(long: DataFrame, periods: Sequence[float], keys: list[str] = SERIES) -> DataFrame:
     """One row for each series and period: the normalised power of the time-shifted, mean-centred periodogram, and its false-alarm probability over n frequencies.
 

@@ -54,6 +54,10 @@ METHODS: dict[str, Method] = {
         lambda t, y, seed, periods=tuple(np.arange(20, 28.1, 0.5)), **how: [fits.harmonic(t, y, periods, **how)],
         "period double, mesor double, r2 double, p_value double, p_extra double, amplitudes array<double>, acrophases array<double>, orders array<int>", 6,
     ),
+    "components": Method(
+        lambda t, y, seed, periods=tuple(np.arange(20, 28.1, 0.5)), **how: [fits.components(t, y, periods, **how)],
+        "period double, components int, mesor double, r2 double, p_value double, amplitudes array<double>, acrophases array<double>, orders array<int>, aic double, bic double", 6,
+    ),
     "fourier_score": Method(lambda t, y, seed, **how: [spectra.fourier_score(t, y, seed=seed, **how)], "score double, power double, period double, p_value double", average=True),
     "lomb_scargle": Method(lambda t, y, seed, **how: [spectra.lomb_scargle(t, y, **how)], "period double, power double, p_value double"),
     "spectral": Method(_spectrum, "period double, power double, threshold double, significant boolean, peaks array<double>"),
@@ -113,11 +117,12 @@ _PAIR = ", ".join(f"{n} double, {n}_lo double, {n}_hi double" for n in ("mesor",
 
 
 def compare(long: DataFrame, pairs: DataFrame, period: float = 24.0, loss: str = "huber", strict_dof: bool = False) -> DataFrame:
-    """Two-group fits of every pair of conditions (condition_0, condition_1) for every variable."""
+    """Two-group fits of every pair of conditions (condition_0, condition_1) for every variable, with the tests of the pooled regression."""
     a, b = pairs.withColumn("condition", F.col("condition_0")).withColumn("g", F.lit(0)), pairs.withColumn("condition", F.col("condition_1")).withColumn("g", F.lit(1))
     rows = long.filter(present(F.col("time")) & present(F.col("value"))).join(a.unionByName(b), "condition").select("variable", "condition_0", "condition_1", "g", "time", "value")
+    tests = ["p_rhythm", "p_difference", "p_mean"]
     flags = [f"d_{n}_differs" for n in ("mesor", "amplitude", "acrophase")]
-    names = [c.split()[0] for c in _PAIR.split(", ")] + ["d_hours"]
+    names = [c.split()[0] for c in _PAIR.split(", ")] + ["d_hours", *tests]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: dict = dict.fromkeys([*names, *flags])
@@ -127,9 +132,10 @@ def compare(long: DataFrame, pairs: DataFrame, period: float = 24.0, loss: str =
                 raise ValueError("either condition needs 4 points")
             pdf = pdf.sort_values(["g", "time", "value"])
             out |= fits.two_groups(pdf["time"].to_numpy(float), pdf["value"].to_numpy(float), pdf["g"].to_numpy(), period, loss, strict_dof)
+            out |= {k: v if np.isfinite(v) else None for k, v in fits.pooled(pdf["time"].to_numpy(float), pdf["value"].to_numpy(float), pdf["g"].to_numpy(), period).items()}
         except Exception as e:  # a pair that can't be fitted is a row
             message = f"{type(e).__name__}: {e}"[:300]
         return pd.DataFrame([[*key, not message, message, *(out[n] for n in [*names, *flags])]], columns=["variable", "condition_0", "condition_1", "success", "message", *names, *flags])
 
-    schema = f"variable string, condition_0 string, condition_1 string, success boolean, message string, {_PAIR}, d_hours double, " + ", ".join(f"{f} boolean" for f in flags)
+    schema = f"variable string, condition_0 string, condition_1 string, success boolean, message string, {_PAIR}, d_hours double, {', '.join(f'{c} double' for c in tests)}, " + ", ".join(f"{f} boolean" for f in flags)
     return rows.groupBy("variable", "condition_0", "condition_1").applyInPandas(run, schema)

@@ -333,6 +333,11 @@ def cosinor_24h(spark, sf):  # noqa: ANN001, ANN201
     return rounded(cos.cosinor(hourly(spark, sf)).select("condition", "period", "n", "mesor", "amplitude", "peak_hour", "r2", "p_value", "success"))
 
 
+@query(f"{fits_sql([24.0])} SELECT condition, period, i * 0.5::DOUBLE AS time, {r('mesor + amplitude * cos(2 * pi() * (i * 0.5 - peak_hour) / 24)', 'fitted')} FROM fits, range(48) AS q(i)")
+def cosinor_curve(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(cos.predict(cos.cosinor(hourly(spark, sf)), 48).drop("variable"))
+
+
 @query(f"{fits_sql(PERIODS)} SELECT condition, period, n, {r('mesor', 'mesor')}, {r('amplitude', 'amplitude')}, {r('r2', 'r2')}, {r(f'least(p_value * {len(PERIODS)}, 1)', 'p_adjusted')} FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY r2 DESC, period) AS i FROM fits) WHERE i = 1")
 def cosinor_period_search(spark, sf):  # noqa: ANN001, ANN201
     return rounded(cos.best_period(cos.cosinor(hourly(spark, sf), PERIODS)).select("condition", "period", "n", "mesor", "amplitude", "r2", "p_adjusted"))
@@ -494,7 +499,7 @@ def _method(name: str, method: str, source=daily_shape, **how) -> None:  # noqa:
     query()(run)
 
 
-for _name in ("jtk", "jtk_sweep", "asymmetric_jtk", "ar_jtk", "cosine_kendall", "harmonic_cosinor", "fourier_score", "spectral", "wavelet", "damped"):
+for _name in ("jtk", "jtk_sweep", "asymmetric_jtk", "ar_jtk", "cosine_kendall", "harmonic_cosinor", "components", "fourier_score", "spectral", "wavelet", "damped"):
     _method(_name, _name)
 _method("robust_single", "robust")
 _method("mixed_model", "mixed", lambda spark, sf: hourly(spark, sf, [*SERIES, "subject"]))
