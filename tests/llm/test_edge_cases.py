@@ -7,7 +7,7 @@ import corpus_pipeline
 from tidewheel.llm import chat, hnsw, licenses, mixing, near_dup, packing, pii, quality, token_counts, toxicity
 from tidewheel.llm.common import shared_dir
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, _n string, h string, score string, `group` string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, _n string, h string, score string, `group` string, _id string, _h string, _row string"
 LABELS = "doc_id long, quality int, toxic int, text string"
 LONG = "word another, " * 20000
 
@@ -17,7 +17,7 @@ def rows():
     out = [(i, f"plain sentence number {i} about the river and the hill near town {i * 7}.", "en", "a", 1) for i in range(20)]
     out += [(100, None, "en", "a", None), (101, "", None, "b", 0), (102, " \n\t ", "en", None, 3), (103, LONG, "en", "b", 9), (None, "no id here but some words", None, None, 1)]
     out += [(104, "the same text twice over and over", "en", "b", 2)] * 2 + [(105, "the same text twice over and over", "de", "b", 2)]
-    return [(*r[:4], r[4], 1, *x[:4]) for r in out]
+    return [(*r[:4], r[4], 1, *x[:4], "12", "13", "14") for r in out]
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def labels(spark):
 
 
 def test_licenses(spark, docs, nothing):
-    got = licenses.scan(docs.unionByName(spark.createDataFrame([(1, "x\nReleased under the MIT License.\nAll rights reserved", "en", "a", 1, 1, "", "", "", "")], DOCS)))
+    got = licenses.scan(docs.unionByName(spark.createDataFrame([(1, "x\nReleased under the MIT License.\nAll rights reserved", "en", "a", 1, 1, *[""] * 7)], DOCS)))
     assert {(r.block, r.license) for r in got.collect()} == {(1, "MIT"), (2, "Proprietary")}
     assert licenses.scan(nothing).count() == 0
 
@@ -56,6 +56,7 @@ def test_mixing(docs, nothing):
     assert mixing.select(nothing).count() == 0 and mixing.mix(nothing).columns == nothing.columns
     mixed = mixing.mix(docs, ratio=None)
     assert mixed.columns == docs.columns and mixed.count() == len(got)
+    assert {(r._n, r.h, r._id, r._h, r._row) for r in mixed.collect()} == {("7", "8", "12", "13", "14")}
     only = mixing.select(docs, targets={"b": 1.0}, ratio=0.2).toPandas()
     assert set(only.source) <= {"b"}
 
@@ -64,7 +65,7 @@ def test_near_duplicates(docs, nothing):
     assert {(r.doc_a, r.doc_b) for r in near_dup.pairs(docs.filter("doc_id > 99 or doc_id is null")).collect()} == {(104, 105)}
     assert near_dup.pairs(nothing).count() == 0
     kept = near_dup.dedup(docs.filter("doc_id > 99 or doc_id is null"))
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {(r._n, r.h, r._id, r._h, r._row) for r in kept.collect()} == {("7", "8", "12", "13", "14")}
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["100", "101", "102", "103", "104", "None"]
     assert near_dup.dedup(nothing).count() == 0
 
@@ -90,8 +91,8 @@ def test_pii(spark, docs, nothing):
 
 
 def test_toxicity(spark, docs, nothing, labels):
-    bad = [(1000 + i, f"you {w} and you rotten {v} person {i} walk", "en", "a", 1, 1, "", "", "", "") for i, (w, v) in enumerate([("fiend", "ghoul"), ("ghoul", "fiend"), ("fiend", "wretch"), ("wretch", "ghoul")] * 15)]
-    good = [(2000 + i, f"we saw {i} birds over the lake and a boat by pier {i * 3} then", "en", "a", 1, 1, "", "", "", "") for i in range(120)]
+    bad = [(1000 + i, f"you {w} and you rotten {v} person {i} walk", "en", "a", 1, 1, *[""] * 7) for i, (w, v) in enumerate([("fiend", "ghoul"), ("ghoul", "fiend"), ("fiend", "wretch"), ("wretch", "ghoul")] * 15)]
+    good = [(2000 + i, f"we saw {i} birds over the lake and a boat by pier {i * 3} then", "en", "a", 1, 1, *[""] * 7) for i in range(120)]
     table = docs.unionByName(spark.createDataFrame(bad + good, DOCS))
     marks = spark.createDataFrame([(r[0], 1, 1, None) for r in bad[:40]] + [(r[0], 1, 0, None) for r in good], LABELS)
     kept = toxicity.clean(table, marks)

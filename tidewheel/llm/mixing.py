@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import table, words, words_sql, written
+from tidewheel.llm.common import table, whole, words, words_sql, written
 
 SEED = 17
 #: Exponent of a source's share of the tokens in its default target weight; 1 keeps the shares.
@@ -118,7 +118,7 @@ def select(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
 def mix(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The rows of docs, with all their columns, as often as they are taken. The texts aren't shuffled: each row meets its source's cut."""
     light = written(keys(docs.select("doc_id", "source", "text"), seed).select("source", "_n", "_b", "_at"), "mixing-keys")
-    return taken(keys(docs, seed), cuts(light, **how)).select(*docs.columns)
+    return taken(keys(docs.select("doc_id", "source", "text", whole(docs)), seed), cuts(light, **how)).select("_row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
