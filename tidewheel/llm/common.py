@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,30 @@ def release() -> None:
             return
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds few texts as Python strings at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+BATCH_ROWS = 512
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """docs, for Python functions over texts: the session's Arrow batches hold at most BATCH_ROWS rows from here on, which bounds
+    the memory of executors and workers and changes no result."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(key, BATCH_ROWS)
+    return docs
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row as the struct _row, so that a stage's own columns can't clash with any of its columns."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+
+
 def words(text: Column) -> Column:
     """Number of words between SPACE; 0 for null and blank texts."""
     trimmed = F.btrim(text, F.lit(" \t\n\r"))

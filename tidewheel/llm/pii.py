@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import crf
-from tidewheel.llm.common import table
+from tidewheel.llm.common import pieces, table, texts_of
 
 KINDS = ["OTHER", "EMAIL", "PHONE", "IP", "CARD", "SECRET"]
 #: Rows of the labelled table, and its seed.
@@ -231,7 +231,7 @@ def findings(docs: DataFrame) -> DataFrame:
     tag = tagger()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             rows = [(i, *f) for i, fs in enumerate(tag.find(texts)) for f in fs]
             yield pa.RecordBatch.from_arrays(
@@ -245,7 +245,7 @@ def findings(docs: DataFrame) -> DataFrame:
                 ["doc_id", "kind", "start", "end", "value"],
             )
 
-    light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    light = texts_of(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     return light.mapInArrow(run, f"doc_id {light.schema['doc_id'].dataType.simpleString()}, kind string, start long, end long, value string")
 
 
@@ -264,7 +264,7 @@ def redact(docs: DataFrame) -> DataFrame:
         given = [None if x is None else x for x in texts]
         return texts.__class__([masked(t, f) if f else t for t, f in zip(given, tag.find(given), strict=True)], dtype=object)
 
-    return docs.withColumn("text", clean("text"))
+    return texts_of(docs).withColumn("text", clean("text"))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

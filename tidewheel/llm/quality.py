@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import crf
-from tidewheel.llm.common import table
+from tidewheel.llm.common import pieces, table, texts_of
 
 SAMPLE = 3000
 KEEP_SHARE = 0.5
@@ -109,17 +109,15 @@ def judge(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE) ->
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                rows = shares(part.column("text").to_pylist(), model)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                     pa.array([round(r[2], 6) for r in rows], pa.float64()), pa.array([r[0] > 0 and r[2] >= keep_share for r in rows], pa.bool_())],
-                    ["doc_id", "n_lines", "n_content", "content_share", "keep"],
-                )
-
-    light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        for part in pieces(batches):
+            rows = shares(part.column("text").to_pylist(), model)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                 pa.array([round(r[2], 6) for r in rows], pa.float64()), pa.array([r[0] > 0 and r[2] >= keep_share for r in rows], pa.bool_())],
+                ["doc_id", "n_lines", "n_content", "content_share", "keep"],
+            )
+
+    light = texts_of(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     return light.mapInArrow(run, f"doc_id {light.schema['doc_id'].dataType.simpleString()}, n_lines long, n_content long, content_share double, keep boolean")
 
 
@@ -131,7 +129,7 @@ def filtered(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE)
     def stays(texts):  # noqa: ANN001, ANN202
         return texts.__class__([n > 0 and s >= keep_share for n, _, s in shares(list(texts), model)])
 
-    return docs.filter(stays(F.col("text").cast("string")))
+    return texts_of(docs).filter(stays(F.col("text").cast("string")))
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

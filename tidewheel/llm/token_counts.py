@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import shared_dir, table, written
+from tidewheel.llm.common import pieces, shared_dir, table, texts_of, written
 
 #: A rank file for byte-level pair encoding; every executor must reach it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -64,7 +64,7 @@ def counts(docs: DataFrame, cache: str, vocabulary: str = VOCABULARY, pattern: s
     spark = docs.sparkSession
     tokenizer = version(vocabulary, pattern)
     text = normalised(F.col("text").cast("string"))
-    keyed = docs.select("doc_id", text.alias("_text")).withColumn("content", F.when(F.col("_text") != "", F.sha2("_text", 256)))
+    keyed = texts_of(docs).select("doc_id", text.alias("_text")).withColumn("content", F.when(F.col("_text") != "", F.sha2("_text", 256)))
     light = written(keyed.select("doc_id", "content"), "token-digests")
     missing = (
         light.filter("content is not null")
@@ -76,7 +76,7 @@ def counts(docs: DataFrame, cache: str, vocabulary: str = VOCABULARY, pattern: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, pattern)
-        for b in batches:
+        for b in pieces(batches):
             n = [len(enc.encode_ordinary(t)) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([tokenizer] * len(n), pa.string()), b.column("content"), pa.array(n, pa.int64())], ["tokenizer", "content", "n_tokens"])
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import near_dup
-from tidewheel.llm.common import table, written
+from tidewheel.llm.common import pieces, table, texts_of, written
 
 SAMPLE = 5000
 SEEDS, CLEAN_SEEDS = 40, 20
@@ -54,7 +54,7 @@ PRIOR = 0.25
 #: Distinct toxic seeds that a word must have edges with to get a positive polarity or into the frontier.
 SUPPORT = 3
 #: Words that a task counts before it hands its counts on.
-HELD = 400_000
+HELD = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -86,7 +86,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[t
 
 
 def light(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(*more, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    return texts_of(docs).select(*more, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
 def without_copies(rows: list[tuple[str, str | None, bool]]) -> list[tuple[str, str | None, bool]]:
@@ -143,7 +143,7 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
-    for b in batches:
+    for b in pieces(batches):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             for found in line_words(text):
                 found.add("")
@@ -168,7 +168,7 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
     place = {key: i for i, key in enumerate(starts)}
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             langs: list[str] = []
             words: list[str] = []
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -187,7 +187,7 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
             at = [i for i, c in held.items() for _ in c]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([w for c in held.values() for w in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int32())], ["at", "b", "both"])
 
-        for b in batches:
+        for b in pieces(batches):
             for lang, words in zip(b.column("lang").to_pylist(), b.column("words").to_pylist(), strict=True):
                 found = words.split(" ")
                 for a in frontier[lang].intersection(found):
@@ -310,7 +310,7 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def scored(texts):  # noqa: ANN001, ANN202
         return texts.__class__([round(lexicon.score(t), 6) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", scored(F.col("text").cast("string"))).withColumn("toxic", F.col("score") >= F.lit(lexicon.threshold))
+    return texts_of(docs).withColumn("score", scored(F.col("text").cast("string"))).withColumn("toxic", F.col("score") >= F.lit(lexicon.threshold))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def stays(texts):  # noqa: ANN001, ANN202
         return texts.__class__([round(lexicon.score(t), 6) < lexicon.threshold for t in texts], dtype=bool)
 
-    return docs.filter(stays(F.col("text").cast("string")))
+    return texts_of(docs).filter(stays(F.col("text").cast("string")))
 
 
 def op7_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
