@@ -1,7 +1,9 @@
 """Toxicity by lexicon induction: random walks over a word graph carry the polarity of labelled seed terms to other words.
 
-1. Seeds: in each language, words whose share of labelled toxic documents differs most from that of the others
-   (z-score), toxic and clean ones, from a sample of at most SAMPLE labelled documents, near copies in it counted once.
+1. Seeds: in each language, words that stand in toxic documents far more often than in others, and the clean ones likewise,
+   from a sample of at most SAMPLE labelled documents, near copies in it counted once. A toxic seed needs smoothed log-odds
+   of LEAST_ODDS, which doesn't depend on the number of labels, and an exact test of its counts at the false discovery
+   rate FDR, which asks for as much support as that number can give. Languages without a seed are tested together.
 2. Counts over all documents: in how many lines of a language each word stands, and in how many together with a
    word of the frontier.
 3. Graph: an edge weighs the positive pointwise mutual information of two words in the lines of a language, less
@@ -26,9 +28,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,9 @@ from tidewheel.llm.common import pieces, table, texts_of, written
 
 SAMPLE = 5000
 SEEDS, CLEAN_SEEDS = 40, 20
-#: Least z-score of a toxic seed; clean seeds need as many documents as CLEAN_DOCS.
-LEAST_Z, CLEAN_DOCS = 7.0, 20
+#: Least smoothed log-odds of a toxic seed, and the rate of false ones among them; clean seeds need CLEAN_DOCS documents, or CLEAN_SHARE of few.
+LEAST_ODDS, FDR = math.log(10), 0.05
+CLEAN_DOCS, CLEAN_SHARE = 20, 0.02
 #: Words in a larger share of the labelled documents are no seeds; in a larger share of the lines, no neighbours.
 SEED_SHARE, STOP_SHARE = 0.25, 0.05
 SHIFT = 3.0
@@ -116,25 +121,78 @@ def without_copies(rows: list[tuple[str, str | None, bool]]) -> list[tuple[str,
     return list(kept.values())
 
 
-def seeds(rows: list[tuple[str | None, bool]]) -> tuple[list[str], list[str]]:
-    """Toxic and clean seed terms, by the z-score of their document shares in the two classes."""
-    seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    n = [0, 0]
-    for text, toxic in rows:
+def hypergeometric(toxic: int, total: int, held: int) -> np.ndarray:
+    """Probabilities of 0, 1, .. held: how many of the documents that hold a word are toxic, if it says nothing of toxicity."""
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    ways = log(total, held)
+    return np.array([math.exp(log(toxic, k) + log(total - toxic, held - k) - ways) if k <= toxic and held - k <= total - toxic else 0.0 for k in range(held + 1)])
+
+
+def seeds(rows: list[tuple[str, str | None, bool]]) -> tuple[list[str], list[str]]:
+    """Toxic and clean seed terms of (language, text, toxic).
+
+    The tests are exact in each language, and a word's counts add up over languages. Of the words, those take part
+    that could be found at all in as many tests (Tarone's and Gilbert's step for discrete tests)."""
+    strata: dict[str, tuple[list[int], Counter[str], Counter[str]]] = {}
+    for lang, text, toxic in rows:
+        n, clean, bad = strata.setdefault(lang, ([0, 0], Counter(), Counter()))
         n[toxic] += 1
-        seen[toxic].update(set(WORD.findall((text or "").lower())))
+        (bad if toxic else clean).update(set(WORD.findall((text or "").lower())))
+    n = [sum(s[0][c] for s in strata.values()) for c in (0, 1)]
     if not all(n):
         return [], []
     total = sum(n)
+    seen = [Counter[str](), Counter[str]()]
+    for s in strata.values():
+        seen[0].update(s[1])
+        seen[1].update(s[2])
+    sizes = [s[0] for s in strata.values()]
+
+    @lru_cache(None)
+    def chances(held: tuple[int, ...]) -> tuple[np.ndarray, float]:
+        """Tail probabilities by the number of toxic documents, and the least that is possible."""
+        p = np.ones(1)
+        for size, k in zip(sizes, held, strict=True):
+            p = np.convolve(p, hypergeometric(size[1], sum(size), k))
+        tail = np.cumsum(p[::-1])[::-1]
+        return tail, float(tail[np.flatnonzero(p)[-1]])
+
+    def odds(w: str) -> float:
+        held = [[s[c + 1][w] for c in (0, 1)] for s in strata.values()]
+        a, b, c, d = (sum(x) for x in zip(*((h[1] + 0.5, z[1] - h[1] + 0.5, h[0] + 0.5, z[0] - h[0] + 0.5) for h, z in zip(held, sizes, strict=True)), strict=True))
+        return math.log(a / b) - math.log(c / d)
+
+    tests: list[tuple[float, float, str]] = []  # least and actual probability
+    for w in seen[0].keys() | seen[1].keys():
+        k = seen[0][w] + seen[1][w]
+        if 2 <= k <= max(SEED_SHARE * total, 2):
+            tail, lowest = chances(tuple(s[1][w] + s[2][w] for s in strata.values()))
+            if lowest <= FDR:
+                tests.append((lowest, float(tail[seen[1][w]]), w))
+    tests.sort()
+    least = [t[0] for t in tests]
+    m = next((j for j in range(1, len(tests) + 1) if bisect_right(least, FDR / j) <= j), 0)
+    ranked = sorted((p, w) for _, p, w in tests[: bisect_right(least, FDR / m) if m else 0])
+    last = max((i for i, (p, _) in enumerate(ranked, 1) if p <= FDR * i / len(ranked)), default=0)
+    bad = [w for _, w in ranked[:last] if odds(w) >= LEAST_ODDS]
 
     def z(w: str) -> float:
         p = (seen[0][w] + seen[1][w]) / total
         return (seen[1][w] / n[1] - seen[0][w] / n[0]) / math.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1])) if p < 1 else 0.0
 
-    usual = lambda w: seen[0][w] + seen[1][w] <= SEED_SHARE * total
-    bad = sorted(((z(w), w) for w, k in seen[1].items() if k >= 2 and usual(w)), key=lambda x: (-x[0], x[1]))
-    good = sorted(((z(w), w) for w, k in seen[0].items() if k >= CLEAN_DOCS and k <= 0.02 * total + CLEAN_DOCS), key=lambda x: (x[0], x[1]))
-    return [w for v, w in bad[:SEEDS] if v >= LEAST_Z], [w for v, w in good[:CLEAN_SEEDS] if v < 0]
+    enough = max(2, min(CLEAN_DOCS, CLEAN_SHARE * total))
+    good = sorted(((z(w), w) for w, k in seen[0].items() if enough <= k <= CLEAN_SHARE * total + CLEAN_DOCS), key=lambda x: (x[0], x[1]))
+    return bad[:SEEDS], [w for v, w in good[:CLEAN_SEEDS] if v < 0]
+
+
+def seeds_by_language(rows: list[tuple[str, str | None, bool]]) -> dict[str, tuple[list[str], list[str]]]:
+    """The seeds of each language that has any; languages without seeds of their own are pooled."""
+    starts = {x: seeds([r for r in rows if r[0] == x]) for x in sorted({r[0] for r in rows})}
+    few = {x for x, (bad, _) in starts.items() if not bad}
+    if len(few) > 1:
+        pool = seeds([r for r in rows if r[0] in few])
+        starts |= dict.fromkeys(sorted(few), pool)
+    return {x: s for x, s in starts.items() if s[0]}
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +329,7 @@ def threshold(scores: list[tuple[float, bool]]) -> float:
 
 def induce(docs: DataFrame, labels: DataFrame, hops: int = HOPS) -> Lexicon:
     rows = without_copies(labelled(docs, labels))
-    langs = sorted({r[0] for r in rows})
-    starts = {x: seeds([(t, y) for lang, t, y in rows if lang == x]) for x in langs}
-    starts = {x: s for x, s in starts.items() if s[0]}
+    starts = seeds_by_language(rows)
     if not starts:
         return Lexicon({}, math.inf)
     counts = line_counts(docs)
