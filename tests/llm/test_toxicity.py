@@ -42,3 +42,19 @@ def test_english_recall_with_seven_toxic_labels(spark):
 def test_english_recall_on_held_out_labels(spark):
     caught, toxic, false = english(spark, "sf0.01", "doc_id % 2 = 0", "doc_id % 2 = 1")
     assert caught >= 0.8 * toxic and not false
+
+
+def test_support_comes_through_the_walk():
+    first = {(x, p): 1.0 for x in ("x1", "x2", "x3") for p in ("p1", "p2", "p3", "p4", "p5")}
+    second = {(p, w): 1.0 for p in ("p1", "p2", "p3", "p4", "p5") for w in ("q", "r")} | {("p1", "lone"): 1.0}
+    polarity, visits = toxicity.walk(first | second, ["x1", "x2", "x3"], ["y1"])
+    assert polarity["q"] > 0 and polarity["r"] > 0 and visits["q"] > 0
+    assert polarity["lone"] <= 0 and visits["lone"] == 0
+    alone, _ = toxicity.walk({("x1", "p1"): 1.0}, ["x1"], ["y1"])
+    assert alone["p1"] > 0
+
+
+def test_clean_neighbours_give_no_support():
+    edges = {(x, p): 1.0 for x in ("x1", "x2", "x3") for p in ("p1", "p2")} | {(y, w): 1.0 for y in ("y1", "y2", "y3") for w in ("c1", "c2", "c3", "q")}
+    polarity, _ = toxicity.walk(edges | {("p1", "q"): 0.1}, ["x1", "x2", "x3"], ["y1", "y2", "y3"])
+    assert polarity["p1"] > 0 and all(polarity[w] <= 0 for w in ("c1", "c2", "c3", "q"))

@@ -11,7 +11,9 @@
    words make no edge. The frontier is first the seeds, then the words whose rate of visits from toxic
    seeds reaches PUSH: HOPS rounds.
 4. Walks with restart from the toxic and from the clean seeds give each word two visiting rates; their
-   difference over their sum and PRIOR seeds' rate is its polarity, and only words with edges to SUPPORT toxic seeds get a positive one; of several languages' polarities a word keeps the highest.
+   difference over their sum and PRIOR seeds' rate is its polarity. A positive one needs support: edges to positive words
+   whose polarities add up to SUPPORT, or to the number of seeds where they are fewer; a seed counts 1. Words that
+   got support give it in turn, so that a word can be reached over several hops. Of several languages' polarities a word keeps the highest.
 5. A document's score is the sum of the positive polarities of its words over their number; the threshold is
    the one with the best F1 on the sample.
 
@@ -43,7 +45,7 @@ from tidewheel.llm import near_dup
 from tidewheel.llm.common import pieces, table, texts_of, written
 
 SAMPLE = 5000
-SEEDS, CLEAN_SEEDS = 40, 20
+SEEDS, CLEAN_SEEDS = 40, 40
 #: Least smoothed log-odds of a toxic seed, and the rate of false ones among them; clean seeds need CLEAN_DOCS documents, or CLEAN_SHARE of few.
 LEAST_ODDS, FDR = math.log(10), 0.05
 CLEAN_DOCS, CLEAN_SHARE = 20, 0.02
@@ -56,7 +58,7 @@ HOPS = 2
 PUSH = 0.004
 RESTART = 0.3
 PRIOR = 0.25
-#: Distinct toxic seeds that a word must have edges with to get a positive polarity or into the frontier.
+#: Toxic seeds, or as many positive words as have their weight, that a word must have edges with to get a positive polarity or into the frontier.
 SUPPORT = 3
 #: Words that a task counts before it hands its counts on.
 HELD = 100_000
@@ -277,7 +279,9 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
 
 
 def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], restart: float = RESTART) -> tuple[dict[str, float], dict[str, float]]:
-    """Polarity, and the rate of visits from toxic seeds (0 without SUPPORT), of every word of the graph, from random walks with restart."""
+    """Polarity, and the rate of visits from toxic seeds (0 without support), of every word of the graph, from random walks with restart.
+
+    Support starts from the seeds and grows over the graph until no word joins."""
     names = sorted({w for e in edges for w in e} | set(bad) | set(good))
     if not names or not bad:
         return {}, {}
@@ -306,8 +310,12 @@ def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], r
     polarity = (plus - minus) / (plus + minus + PRIOR * plus[[at[w] for w in bad]].mean())
     starts = np.zeros(n, bool)
     starts[[at[w] for w in bad]] = True
-    support = np.bincount(dst, starts[src], n) if len(keys) else np.zeros(n)
-    found = starts | (support >= SUPPORT)
+    found, size = starts, -1
+    while found.sum() > size and len(keys):
+        size = found.sum()
+        strength = np.where(starts, 1.0, np.where(found, np.maximum(polarity, 0), 0))
+        support = np.bincount(dst, strength[src], n)
+        found = found | ((support >= min(SUPPORT, starts.sum())) & (polarity > 0))
     polarity, plus = np.where(found, polarity, np.minimum(polarity, 0)), np.where(found, plus, 0)
     return dict(zip(names, polarity.tolist(), strict=True)), dict(zip(names, plus.tolist(), strict=True))
 
