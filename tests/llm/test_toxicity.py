@@ -58,3 +58,15 @@ def test_clean_neighbours_give_no_support():
     edges = {(x, p): 1.0 for x in ("x1", "x2", "x3") for p in ("p1", "p2")} | {(y, w): 1.0 for y in ("y1", "y2", "y3") for w in ("c1", "c2", "c3", "q")}
     polarity, _ = toxicity.walk(edges | {("p1", "q"): 0.1}, ["x1", "x2", "x3"], ["y1", "y2", "y3"])
     assert polarity["p1"] > 0 and all(polarity[w] <= 0 for w in ("c1", "c2", "c3", "q"))
+
+
+def test_counts_are_of_the_same_lines(spark):
+    lines = [f"fiend ghoul w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)] + ["fiend passage that all repeat"] * 1000 + ["plain talk here"] * 500
+    lines += [f"calm {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    docs = spark.createDataFrame([(i, "en", x) for i, x in enumerate(lines)] + [(5000, "de", "fiend passage that all repeat\nRepeat, all that passage: fiend!"), (5001, None, None)], "doc_id long, lang string, text string")
+    counts = toxicity.line_counts(docs)
+    n = {(r.lang, r.word): r.n for r in counts.collect()}
+    assert n["en", "fiend"] == 51 and n["en", "ghoul"] == 50 and n["en", ""] == 50 + 1 + 1 + 600 and n["de", ""] == 1
+    edge = toxicity.neighbours(docs, {"en": {"fiend"}}, {"en": {"that"}}, counts).filter("b = 'ghoul'").collect()
+    bound = 50 - toxicity.BOUND_Z * math.sqrt(50)
+    assert [round(r.weight, 9) for r in edge] == [round(math.log(bound * 652 / (51 * 50) / toxicity.SHIFT), 9)]

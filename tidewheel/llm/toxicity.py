@@ -4,8 +4,9 @@
    from a sample of at most SAMPLE labelled documents, near copies in it counted once. A toxic seed needs smoothed log-odds
    of LEAST_ODDS, which doesn't depend on the number of labels, and an exact test of its counts at the false discovery
    rate FDR, which asks for as much support as that number can give. Languages without a seed are tested together.
-2. Counts over all documents: in how many lines of a language each word stands, and in how many together with a
-   word of the frontier.
+2. Counts over the distinct lines of all documents: in how many lines of a language each word stands, and in how many
+   together with a word of the frontier. Lines of the same set of words are one line in all counts, so that a passage
+   counts once however many documents repeat it.
 3. Graph: an edge weighs the positive pointwise mutual information of two words in the lines of a language, less
    log(SHIFT), where the shared count is replaced by its lower confidence bound, so that chance neighbours of rare
    words make no edge. The frontier is first the seeds, then the words whose rate of visits from toxic
@@ -17,7 +18,8 @@
 5. A document's score is the sum of the positive polarities of its words over their number; the threshold is
    the one with the best F1 on the sample.
 
-Cost: HOPS + 2 scans; the shuffles move counts that each task has summed. A frontier has
+Cost: HOPS + 2 scans; the first shuffles the word sets of all lines once, the others those of the frontier's lines, and
+the rest moves counts that each task has summed. A frontier has
 at most 1 / PUSH words a language, since the rates add up to 1. The driver holds the words near the seeds,
 which their number and the confidence bound keep to a small part of the vocabulary.
 
@@ -32,9 +34,10 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -197,27 +200,69 @@ def seeds_by_language(rows: list[tuple[str, str | None, bool]]) -> dict[str, tup
     return {x: s for x, s in starts.items() if s[0]}
 
 
-def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def line_key(lang: str, found: set[str]) -> int:
+    """64 bits that stand for the line's set of words."""
+    return int.from_bytes(blake2b(f"{lang} {' '.join(sorted(found))}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def distinct_lines(docs: DataFrame, cut: Callable[[str, set[str]], set[str] | None], count: Callable[[Iterator[tuple[str, list[str]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What count makes of (language, words) of the lines that cut doesn't give None for, each set of words of a language once.
+
+    Words are those that cut leaves; which lines are the same is told by all their words."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in pieces(batches):
+            keys: list[int] = []
+            langs: list[str] = []
+            words: list[str] = []
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for found in line_words(text):
+                    left = cut(lang, found)
+                    if left is not None and (key := line_key(lang, found)) not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        langs.append(lang)
+                        words.append(" ".join(left))
+            # only to shuffle less: the copies that this lets through meet after the shuffle
+            if len(seen) > HELD:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(words, pa.string())], ["h", "lang", "words"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def rows() -> Iterator[tuple[str, list[str]]]:
+            for b in pieces(batches):
+                for key, lang, words in zip(b.column("h").to_pylist(), b.column("lang").to_pylist(), b.column("words").to_pylist(), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        yield lang, words.split(" ") if words else []
+
+        yield from count(rows())
+
+    return light(docs).mapInArrow(lines, "h long, lang string, words string").repartition("h").mapInArrow(once, schema)
+
+
+def _count_words(rows: Iterator[tuple[str, list[str]]]) -> Iterator[pa.RecordBatch]:
     held: Counter[tuple[str, str]] = Counter()
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
-    for b in pieces(batches):
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            for found in line_words(text):
-                found.add("")
-                held.update(zip([lang] * len(found), found, strict=True))
-            if len(held) > HELD:
-                yield out()
-                held.clear()
+    for lang, words in rows:
+        held.update((lang, w) for w in words)
+        held[lang, ""] += 1
+        if len(held) > HELD:
+            yield out()
+            held.clear()
     if held:
         yield out()
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n): lines of the language that hold the word; "" has the number of lines. Words of one line are left out, since they make no edge."""
-    part = light(docs).mapInArrow(_count_lines, "lang string, word string, n long")
+    """(lang, word, n): distinct lines of the language that hold the word; "" has the number of lines. Words of one line are left out, since they make no edge."""
+    part = distinct_lines(docs, lambda lang, found: found, _count_words, "lang string, word string, n long")
     return written(part.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("n > 1 or word = ''"), "toxic-lines")
 
 
@@ -227,19 +272,11 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
     starts = [(x, a) for x in sorted(frontier) for a in sorted(frontier[x])]
     place = {key: i for i, key in enumerate(starts)}
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            langs: list[str] = []
-            words: list[str] = []
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                wanted, usual = frontier.get(lang), stop.get(lang, set())
-                if wanted:
-                    here = [" ".join(sorted(found - usual)) for found in line_words(text) if not wanted.isdisjoint(found)]
-                    words += here
-                    langs += [lang] * len(here)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "words"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(lang: str, found: set[str]) -> set[str] | None:
+        wanted = frontier.get(lang)
+        return found - stop.get(lang, set()) if wanted and not wanted.isdisjoint(found) else None
+
+    def run(rows: Iterator[tuple[str, list[str]]]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter[str]] = defaultdict(Counter)
         size = 0
 
@@ -247,25 +284,21 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
             at = [i for i, c in held.items() for _ in c]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([w for c in held.values() for w in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int32())], ["at", "b", "both"])
 
-        for b in pieces(batches):
-            for lang, words in zip(b.column("lang").to_pylist(), b.column("words").to_pylist(), strict=True):
-                found = words.split(" ")
-                for a in frontier[lang].intersection(found):
-                    c = held[place[lang, a]]
-                    size -= len(c)
-                    c.update(found)
-                    size += len(c)
-                if size > HELD:
-                    yield out()
-                    held.clear()
-                    size = 0
+        for lang, found in rows:
+            for a in frontier[lang].intersection(found):
+                c = held[place[lang, a]]
+                size -= len(c)
+                c.update(found)
+                size += len(c)
+            if size > HELD:
+                yield out()
+                held.clear()
+                size = 0
         if held:
             yield out()
 
     names = spark.createDataFrame([(i, *key) for i, key in enumerate(starts)], "at int, lang string, a string")
-    # lines of the same words count once, so that a passage that many documents repeat is one line
-    once = light(docs).mapInArrow(lines, "lang string, words string").groupBy("lang", F.xxhash64("words").alias("h")).agg(F.first("words").alias("words"))
-    both = once.select("lang", "words").mapInArrow(run, "at int, b string, both int").groupBy("at", "b").agg(F.sum("both").alias("both"))
+    both = distinct_lines(docs, cut, run, "at int, b string, both int").groupBy("at", "b").agg(F.sum("both").alias("both"))
     both = both.filter(F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double")) > 0).join(names, "at").filter("a != b")
     bound = F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double"))
     ends = lambda x: counts.filter("word != ''").select("lang", F.col("word").alias(x), F.col("n").alias(f"n_{x}"))
