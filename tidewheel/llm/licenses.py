@@ -13,6 +13,10 @@ blocks are cut to the templates' vocabulary first, which changes no result.
 Cost: two narrow scans of the text, of which only blocks that pass the length filter reach the join;
 the broadcast side is the templates, whose size doesn't depend on the corpus.
 
+Notices that are wrapped over several lines meet no template line by line. ``wrapped`` takes runs of consecutive
+lines as blocks too, as many as a template fills at LINE_WORDS words a line and one more, and gives the runs that
+hold no shorter one. The query op1_license_scan has the blocks of its SQL, which are single lines.
+
 Defined cases: null and blank texts and lines have no words and match nothing; rows that repeat an id
 each give their matches; a null id is kept; each of several templates that a line meets gives a row;
 a template whose words are all in another one's is also found there; an empty table gives an empty
@@ -24,12 +28,14 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import table, written
 
 THRESHOLD = 0.8
+#: Words of a template that a line of a wrapped notice holds at least, on the average.
+LINE_WORDS = 6
 
 #: Notices as they stand in files, by license.
 TEMPLATES: list[tuple[str, str]] = [
@@ -77,12 +83,51 @@ def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     )
 
 
+def most_lines(size: int) -> int:
+    return math.ceil(size / LINE_WORDS) + 1
+
+
+def runs(docs: DataFrame, vocabulary: list[str], most: int) -> DataFrame:
+    """(_doc, doc_id, block, lines, _w): as blocks(), for runs of 1 to most lines whose first and last line hold such words; _doc tells rows apart."""
+    vocab = F.array(*map(F.lit, vocabulary))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.array_intersect(vocab, F.split(F.lower(x), "[^a-z0-9]+")))
+    return (
+        docs.filter("text is not null").select("doc_id", F.monotonically_increasing_id().alias("_doc"), lines.alias("_l"))
+        .select("_doc", "doc_id", F.posexplode(F.transform("_l", lambda x, i: F.slice("_l", i + 1, F.lit(most)))).alias("block", "_l"))
+        .filter(F.size(F.get("_l", F.lit(0))) > 0)
+        .select("_doc", "doc_id", "block", "_l", F.explode(F.sequence(F.lit(1), F.size("_l"))).alias("lines"))
+        .filter(F.size(F.get("_l", F.col("lines") - 1)) > 0)
+        .select("_doc", "doc_id", "block", "lines", F.array_distinct(F.flatten(F.slice("_l", F.lit(1), F.col("lines")))).alias("_w"))
+    )
+
+
+def wrapped(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, block, lines, license, template, shared, containment): the runs of lines from block on that meet a template and hold no shorter run that does."""
+    sets = [split_words(t) for _, t in templates]
+    most = max((most_lines(len(s)) for s in sets), default=1)
+    found = written(runs(docs.select("doc_id", "text"), sorted({w for s in sets for w in s}), most), "license-runs")
+    met = _join(found, templates, threshold, ["_doc", "doc_id", "lines"]).filter(F.col("lines") <= F.ceil(F.col("_size") / LINE_WORDS) + 1)
+    first = met.groupBy("_doc", "doc_id", "block", "license", "template").agg(F.min(F.struct("lines", "shared", "containment")).alias("_m"))
+    end = F.col("block") + F.col("_m.lines")
+    later = F.min(end).over(Window.partitionBy("_doc", "template").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    return (
+        first.withColumn("_later", later).filter(F.col("_later").isNull() | (F.col("_later") > end))
+        .select("doc_id", "block", F.col("_m.lines").cast("long").alias("lines"), "license", "template", "_m.shared", "_m.containment")
+    )
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, block, license, template, shared, containment): every line and template that meet the threshold."""
-    spark = docs.sparkSession
+    vocabulary = sorted({w for _, t in templates for w in split_words(t)})
+    found = written(blocks(docs.select("doc_id", "text"), vocabulary), "license-blocks")
+    return _join(found, templates, threshold, ["doc_id"]).select("doc_id", "block", "license", "template", "shared", "containment")
+
+
+def _join(found: DataFrame, templates: list[tuple[str, str]], threshold: float, keep: list[str]) -> DataFrame:
+    """The blocks and templates that meet the threshold."""
+    spark = found.sparkSession
     sets = [split_words(t) for _, t in templates]
     vocabulary = sorted({w for s in sets for w in s})
-    found = written(blocks(docs.select("doc_id", "text"), vocabulary), "license-blocks")
     # The global order: as many rows as the templates have words.
     seen = {r.w: r.n for r in found.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
@@ -104,7 +149,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         .filter(F.get(F.array_intersect("_b", "_t"), F.lit(0)) == F.col("_r"))
         .withColumn("shared", shared.cast("long"))
         .filter(F.col("shared") >= F.col("_o"))
-        .select("doc_id", F.col("block").cast("long").alias("block"), "license", F.col("template").cast("long").alias("template"), "shared", F.round(F.col("shared") / F.col("_size"), 4).alias("containment"))
+        .select(*keep, "_size", F.col("block").cast("long").alias("block"), "license", F.col("template").cast("long").alias("template"), "shared", F.round(F.col("shared") / F.col("_size"), 4).alias("containment"))
     )
 
 
