@@ -98,7 +98,7 @@ def test_fits():
     assert h["period"] == 24 and h["orders"][0] == 1 and h["p_value"] < 1e-10
     s = fits.single(T, np.append(y[:-1], 60.0))
     assert abs(s["peak_hour"] - 6) < 0.6 and abs(s["amplitude"] - 3) < 0.5
-    two = fits.two_groups(np.tile(T, 2), np.append(y, series(peak=12, amplitude=4, seed=1)), np.repeat([0, 1], len(T)))
+    two = fits.two_groups(fits.one_group(T, y), fits.one_group(T, series(peak=12, amplitude=4, seed=1)))
     assert two["d_hours"] == pytest.approx(6, abs=0.3) and two["d_amplitude_differs"] and not two["d_mesor_differs"]
     t = np.arange(0, 96, 1.0)
     d = fits.damped(t, 5 + 4 * np.exp(-0.02 * t) * np.cos(2 * np.pi * t / 25 + 1) + 0.1 * t)
@@ -112,12 +112,28 @@ def test_components_and_pooled_tests():
     y = series(t=t, seed=3) + 1.5 * np.cos(2 * np.pi * (t - 2) / 12)
     c = fits.components(t, y, [22, 24, 26])
     assert (c["period"], c["components"]) == (24, 2) and fits.components(t, series(t=t, seed=3), [24])["components"] == 1
-    g = np.repeat([0, 1], len(t))
-    same = fits.pooled(np.tile(t, 2), np.append(series(t=t), series(t=t, seed=5)), g)
-    other = fits.pooled(np.tile(t, 2), np.append(series(t=t), 2 + series(t=t, peak=9, seed=5)), g)
+    first = fits.one_group(t, series(t=t))
+    same = fits.pooled(first, fits.one_group(t, series(t=t, seed=5)))
+    other = fits.pooled(first, fits.one_group(t, 2 + series(t=t, peak=9, seed=5)))
     assert same["p_difference"] > 0.01 > other["p_difference"] and same["p_rhythm"] < 1e-9 and other["p_mean"] < 1e-9
 
 
+def test_groups_fitted_apart_are_the_joint_model():
+    t, y0, y1 = np.arange(0, 48, 2.0), series(), series(peak=9, amplitude=2, seed=2)
+    g, tt, y = np.repeat([0, 1], 24), np.tile(np.arange(0, 48, 2.0), 2), np.append(y0, y1)
+    base = fits.design(tt, 24)
+    full = np.column_stack([base, base * g[:, None]])
+    rss = lambda x: stats.least_squares(x, y)[2]
+    f = lambda x, d: stats.f_tail((rss(x) - rss(full)) / d / (rss(full) / 42), d, 42)
+    got = fits.pooled(fits.one_group(t, y0), fits.one_group(t, y1))
+    assert got["p_rhythm"] == pytest.approx(f(full[:, [0, 3]], 4), rel=1e-6)
+    assert got["p_difference"] == pytest.approx(f(full[:, :4], 2), rel=1e-6) and got["p_mean"] == pytest.approx(f(full[:, [0, 1, 2, 4, 5]], 1), rel=1e-6)
+    # the errors of the joint Jacobian
+    two = fits.two_groups(fits.one_group(t, y0, loss="linear"), fits.one_group(t, y1, loss="linear"), strict_dof=True)
+    beta, cov, r = stats.least_squares(full, y)
+    assert two["d_mesor"] == pytest.approx(beta[3]) and (two["d_mesor_hi"] - two["d_mesor"]) / 1.96 == pytest.approx(math.sqrt(cov[3, 3] * r / 42))
+
+
 def test_count_models():
     rng = np.random.default_rng(4)
     t = np.tile(np.arange(0, 48, 1.0), 4)

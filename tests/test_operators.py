@@ -77,6 +77,98 @@ def test_adjustment_is_step_up(spark):
     assert got[3].q_bonferroni == pytest.approx(0.025)
 
 
+def test_adjustment_of_many_tests_is_that_of_one_sort(spark):
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.random(400), rng.random(200) ** 30, np.repeat([0.0, 1.0, 0.25, 1e-300], 20), [np.nan] * 3])
+    fam = rng.integers(0, 3, len(p))
+    rows = [(i, None if f == 2 else str(f), None if v != v else float(v)) for i, (f, v) in enumerate(zip(fam.tolist(), p.tolist(), strict=True))]
+    df = spark.createDataFrame(rows, "i int, f string, p_value double")
+
+    def want(index):
+        index = [i for i in index if p[i] == p[i]]
+        order = sorted(index, key=lambda i: p[i])
+        q, low = {}, 1.0
+        for rank in range(len(order), 0, -1):
+            low = min(low, p[order[rank - 1]] * len(order) / rank)
+            q[order[rank - 1]] = low
+        for v in {p[i] for i in index}:  # equal tests share the value of the last of them
+            tied = [i for i in index if p[i] == v]
+            q |= dict.fromkeys(tied, min(q[i] for i in tied))
+        return q
+
+    got = {r.i: r.q_bh for r in aggregate.adjusted(df).collect()}
+    assert len(got) == len(p) and {i: q for i, q in got.items() if q is not None} == pytest.approx(want(range(len(p))))
+    got = {r.i: r.q_bh for r in aggregate.adjusted(df, family=["f"]).collect()}
+    assert len(got) == len(p) and all(got[i] == pytest.approx(q) for k in range(3) for i, q in want(np.flatnonzero(fam == k).tolist()).items())
+    plan = aggregate.adjusted(df)._jdf.queryExecution().executedPlan().toString()
+    assert all("_c" not in x or "_p" not in x for x in plan.splitlines() if "SinglePartition" in x)
+
+
+@pytest.mark.parametrize(("times", "step", "want"), [
+    ([0, 3, 9, 12], 3, [(0, 0), (3, 3), (9, 9), (12, 12)]),  # 6 is as near to 3 as to 9: the earlier one, which is there already
+    ([1, 4, 7], 3, [(1, 1), (4, 4), (7, 7)]),
+    ([0.5, 1.5, 3.0], 1, [(0.5, 0.5), (1.5, 1.5), (3.0, 3.5)]),
+    ([0, 1, 2, 20], 6, [(0, 0), (2, 6), (20, 12)]),
+    ([5], 2, [(5, 5)]),
+])
+def test_nearest_times(spark, times, step, want):
+    df = spark.createDataFrame([("a", float(t)) for t in times] + [("b", 100.0), ("b", None)], "k string, time double")
+    got = aggregate.nearest_times(df, step, ["k"]).collect()
+    t = np.array(times, float)
+    targets = np.arange(t[0], t[-1] + step / 2, step)
+    brute = {}
+    for x in targets:
+        brute.setdefault(float(t[np.argmin(np.abs(t - x))]), float(x))
+    rows = sorted((r.time, r.target) for r in got if r.k == "a")
+    assert [r[0] for r in rows] == sorted(brute) and {r[0]: r[1] for r in rows} == brute and [r[0] for r in rows] == [w[0] for w in want]
+    assert [(r.time, r.target) for r in got if r.k == "b"] == [(100.0, 100.0)]
+
+
+def test_cosinor_errors(spark):
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.random(20) * 50)
+    y = 5 + 2 * np.cos(2 * np.pi * (t - 4) / 24) + rng.normal(0, 1, 20)
+    df = spark.createDataFrame(pd.DataFrame({"variable": "v", "condition": "a", "subject": "s", "time": t, "value": y}))
+    x = np.column_stack([np.ones(20), np.cos(2 * np.pi * t / 24), np.sin(2 * np.pi * t / 24)])
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    cov = np.linalg.inv(x.T @ x) * ((y - x @ beta) ** 2).sum() / 17
+    a = np.hypot(*beta[1:])
+    grad = np.array([[0, beta[1] / a, beta[2] / a], [0, -beta[2] / a**2, beta[1] / a**2]])
+    want = np.sqrt(np.diag(grad @ cov @ grad.T))
+    r = cosinor.cosinor(df).first()
+    assert (r.mesor_se, r.amplitude_se, r.acrophase_se) == pytest.approx((np.sqrt(cov[0, 0]), *want))
+    assert r.amplitude_hi - r.amplitude_lo == pytest.approx(2 * 1.96 * want[0])
+    from tidewheel.functions import stats
+
+    assert (r.amplitude_p, r.acrophase_p) == pytest.approx([stats.t_two_sided(beta[i] / np.sqrt(cov[i, i]), 17) for i in (1, 2)])
+    swapped = np.sqrt((beta[1] ** 2 * cov[2, 2] + beta[2] ** 2 * cov[1, 1] + 2 * beta[1] * beta[2] * cov[1, 2]) / a**2)
+    assert cosinor.cosinor(df, semantics="reference").first().amplitude_se == pytest.approx(swapped)
+    plan = cosinor.cosinor(df, cosinor.grid(18, 32, 0.1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+
+
+def test_chi2_lines(spark):
+    rng = np.random.default_rng(0)
+    t = np.arange(0, 24 * 10, 0.5)
+    rows = [("c", f"n{k}", float(x), float(v)) for k in range(12) for x, v in zip(t, rng.poisson(5, len(t)), strict=True)]
+    rows += [("c", f"r{k}", float(x), float(v)) for k in range(3) for x, v in zip(t, rng.poisson(5 + 4 * np.cos(2 * np.pi * t / 24.5)), strict=True)]
+    qp = activity.chi2_periodogram(spark.createDataFrame(rows, "condition string, subject string, time double, activity double"), [22.0, 24.0, 24.5, 26.0], 0.5)
+    tested = activity.chi2_tested(qp, 0.001).collect()
+    assert not any(r.rhythmic for r in tested if r.subject[0] == "n") and all(r.rhythmic for r in tested if r.subject[0] == "r" and r.period == 24.5)
+    assert all(r.rhythmic == (r.p_value < 0.001) for r in tested)
+    assert all(r.rhythmic for r in activity.chi2_tested(qp, 0.05, semantics="reference").collect())
+    group = activity.group_periodogram(activity.chi2_tested(qp, 0.001)).filter("period = 24.5").first()
+    assert (group.n_rhythmic, group.n_total, group.tau, group.tau_sem) == (3, 15, 24.5, 0.0) and group.qp_sem > 0
+
+
+def test_days_alpha_rho(spark):
+    rows = [("c", "s", d * 24.0 + h, 10.0 if 6 + d <= h < 12 + d else 0.0) for d in range(3) for h in range(24)]
+    days = activity.days_alpha_rho(spark.createDataFrame(rows, "condition string, subject string, time double, activity double"))
+    assert sorted((r.day, r.alpha_hours, r.onset, r.offset) for r in days.collect()) == [(1, 6.0, 6.0, 11.0), (2, 6.0, 7.0, 12.0), (3, 6.0, 8.0, 13.0)]
+    s = activity.alpha_rho_summary(days).first()
+    assert (s.n_days, s.alpha_sd, s.rho_mean) == (3, 0.0, 18.0) and s.onset_sd == pytest.approx(np.std([6, 7, 8]))
+
+
 def test_roles():
     from pyspark.sql import types as T
 

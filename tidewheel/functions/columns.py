@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewheel.functions import stats
+
 
 def angle(time: Column, period: Column | float) -> Column:
     """Hours as radians of a cycle."""
@@ -52,6 +57,31 @@ def f_tail(r2: Column, harmonics: int, n: Column) -> Column:
     return F.when(a > 0, F.pow(1 - r2, a) * total)
 
 
+def _on_floats(f: Callable[..., float]) -> Callable[..., Column]:
+    """A column function of doubles by an Arrow batch at a time; null for what is null or not finite."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        out = [None if any(x is None or x != x for x in r) else f(*r) for r in rows]
+        return pa.array([x if x is not None and math.isfinite(x) else None for x in out], pa.float64())
+
+    run.__annotations__ = {"columns": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t. For rows of results, not of data: it leaves the JVM."""
+    return _on_floats(stats.t_two_sided)(t, df)
+
+
+def chi2_tail(x: Column, df: Column) -> Column:
+    return _on_floats(stats.chi2_tail)(x, df.cast("double"))
+
+
+def chi2_quantile(p: float, df: Column) -> Column:
+    return _on_floats(lambda d: stats.chi2_quantile(p, d))(df.cast("double"))
+
+
 def present(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 

@@ -84,30 +84,54 @@ def single(t: np.ndarray, y: np.ndarray, period: float = 24.0, loss: str = "hube
     return {k: float(v) for k, v in out.items()}
 
 
-def two_groups(t: np.ndarray, y: np.ndarray, g: np.ndarray, period: float = 24.0, loss: str = "huber", strict_dof: bool = False) -> dict:
+def one_group(t: np.ndarray, y: np.ndarray, period: float = 24.0, loss: str = "huber") -> dict:
+    """What two_groups() and pooled() need of a group: parameters, their Jacobian's products, residual sum, and the moments of the linear model."""
+    x = design(t, period)
+    m, c, s = reweighted(x, y, loss)
+    a, phi = polar(c, s)
+    w = TAU * t / period
+    jac = np.column_stack([np.ones(len(y)), np.cos(w - phi), a * np.sin(w - phi)])
+    rest = y - x @ np.array([m, c, s])
+    return {"n": len(y), "fit": np.array([m, a, phi]), "jtj": jac.T @ jac, "rss": float(rest @ rest), "xtx": x.T @ x, "xty": x.T @ y, "yty": float(y @ y)}
+
+
+def two_groups(g0: dict, g1: dict, period: float = 24.0, strict_dof: bool = False) -> dict:
     """Parameters of group 0 and their differences in group 1; a difference is significant if its interval leaves 0 out.
 
-    The joint model's two halves share no parameter, so that they are fitted apart and the errors joined."""
-    fits, jacs, rests = [], [], []
-    for k in (0, 1):
-        x, v = design(t[g == k], period), y[g == k]
-        m, c, s = reweighted(x, v, loss)
-        a, phi = polar(c, s)
-        w = TAU * t[g == k] / period
-        fits.append((m, a, phi))
-        rests.append(v - x @ np.array([m, c, s]))
-        jacs.append(np.column_stack([np.ones(len(v)), np.cos(w - phi), a * np.sin(w - phi)]))
-    top = np.hstack([jacs[0], np.zeros((len(jacs[0]), 3))])
-    jac = np.vstack([top, np.hstack([jacs[1], jacs[1]])])
-    se = _errors(jac, np.concatenate(rests), len(y) - (6 if strict_dof else 2))
-    (m0, a0, p0), (m1, a1, p1) = fits
+    The joint model's two halves share no parameter, so that they are fitted apart (once for all pairs of a group) and the errors joined."""
+    (m0, a0, p0), (m1, a1, p1) = g0["fit"], g1["fit"]
+    jtj = np.block([[g0["jtj"] + g1["jtj"], g1["jtj"]], [g1["jtj"], g1["jtj"]]])
+    rmse = math.sqrt((g0["rss"] + g1["rss"]) / max(g0["n"] + g1["n"] - (6 if strict_dof else 2), 1))
+    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(jtj)), 0)) * rmse
     values = [m0, a0, p0, m1 - m0, a1 - a0, (p1 - p0 + np.pi) % TAU - np.pi]
     out: dict = {}
     for name, v, e in zip(("mesor", "amplitude", "acrophase", "d_mesor", "d_amplitude", "d_acrophase"), values, se, strict=True):
         out |= {name: float(v), f"{name}_lo": float(v - 1.96 * e), f"{name}_hi": float(v + 1.96 * e)}
         if name[0] == "d":
             out[f"{name}_differs"] = bool(abs(v) > 1.96 * e)
-    return out | {"d_hours": values[5] * period / TAU}
+    return out | {"d_hours": float(values[5] * period / TAU)}
+
+
+def pooled(g0: dict, g1: dict) -> dict:
+    """One regression for both groups with interactions: tests of any rhythm, of a difference in rhythm, and of a difference in mean, from the groups' moments."""
+    k = len(g0["xty"])
+    n = g0["n"] + g1["n"]
+    # columns: the first group's, then those of the second group times its indicator
+    a = np.block([[g0["xtx"] + g1["xtx"], g1["xtx"]], [g1["xtx"], g1["xtx"]]])
+    b = np.concatenate([g0["xty"] + g1["xty"], g1["xty"]])
+    total = g0["yty"] + g1["yty"]
+
+    def rest(columns: list[int]) -> float:
+        return total - float(b[columns] @ np.linalg.lstsq(a[np.ix_(columns, columns)], b[columns], rcond=None)[0])
+
+    every = list(range(2 * k))
+    rss, dof = rest(every), n - 2 * k
+
+    def test(columns: list[int]) -> float:
+        d = 2 * k - len(columns)
+        return stats.f_tail((rest(columns) - rss) / d / (rss / dof), d, dof) if dof > 0 and rss > 1e-12 * total else math.nan
+
+    return {"p_rhythm": test([0, k]), "p_difference": test([*range(k), k]), "p_mean": test([x for x in every if x != k])}
 
 
 def damped(t: np.ndarray, y: np.ndarray, period: float = 24.0, rounds: int = 200) -> dict:
@@ -312,22 +336,3 @@ def components(t: np.ndarray, y: np.ndarray, periods: Sequence[float], most: int
         rss, k = new, more
     ll = -n / 2 * (math.log(TAU * rss / n) + 1) if rss > 0 else math.inf
     return harmonic(t, y, [period], k) | {"components": k, "aic": 2 * (2 * k + 1) - 2 * ll, "bic": (2 * k + 1) * math.log(n) - 2 * ll}
-
-
-def pooled(t: np.ndarray, y: np.ndarray, g: np.ndarray, period: float = 24.0, harmonics: int = 1) -> dict:
-    """One regression for both groups with interactions: tests of any rhythm, of a difference in rhythm, and of a difference in mean."""
-    base = design(t, period, harmonics)
-    wave = base[:, 1:]
-    full = np.column_stack([base, g, wave * g[:, None]])
-    rss = least_squares(full, y)[2]
-    dof = len(y) - full.shape[1]
-
-    def test(x: np.ndarray) -> float:
-        d = full.shape[1] - x.shape[1]
-        return stats.f_tail((least_squares(x, y)[2] - rss) / d / (rss / dof), d, dof) if dof > 0 and rss > 0 else math.nan
-
-    return {
-        "p_rhythm": test(np.column_stack([np.ones(len(y)), g])),
-        "p_difference": test(np.column_stack([base, g])),
-        "p_mean": test(np.column_stack([base, wave * g[:, None]])),
-    }

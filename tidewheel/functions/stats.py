@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -67,6 +68,7 @@ def chi2_tail(x: float, df: float) -> float:
     return min(1.0, scale * h)
 
 
+@lru_cache(4096)
 def chi2_quantile(p: float, df: float) -> float:
     lo, hi = 0.0, max(10.0, 4 * df)
     while chi2_tail(hi, df) > 1 - p:

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.columns import day, zeitgeber
+from tidewheel.functions.columns import chi2_quantile, chi2_tail, day, zeitgeber
 
 WHO = ["condition", "subject"]
 
@@ -97,6 +97,42 @@ def chi2_periodogram(rows: DataFrame, periods: Sequence[float], bin_hours: float
     )
 
 
+def chi2_tested(qp: DataFrame, alpha: float = 0.05, keys: list[str] = WHO, semantics: str = "corrected") -> DataFrame:
+    """qp with p_value, threshold (of Qp at alpha) and rhythmic.
+
+    Qp follows chi-square with n_slots - 1 degrees of freedom. semantics: "reference" evaluates p at Qp (n_slots - 1), and has one line for all
+    periods, that of the median number of slots, divided by this number; "corrected" takes Qp itself and a line for each period."""
+    df = F.col("n_slots") - 1
+    if semantics == "corrected":
+        out = qp.withColumn("p_value", chi2_tail(F.col("qp"), df)).withColumn("threshold", chi2_quantile(1 - alpha, df))
+    elif semantics == "reference":
+        slots = qp.groupBy(*keys).agg(F.greatest(F.rint(F.median("n_slots")), F.lit(2.0)).alias("_k"))
+        names = {k: f"_k_{k}" for k in keys}
+        out = qp.join(slots.withColumnsRenamed(names), [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]).drop(*names.values())
+        out = out.withColumn("p_value", chi2_tail(F.col("qp") * df, df)).withColumn("threshold", chi2_quantile(1 - alpha, F.col("_k") - 1) / F.col("_k")).drop("_k")
+    else:
+        raise ValueError(f"semantics is corrected or reference, not {semantics}")
+    return out.withColumn("rhythmic", F.coalesce(F.col("qp") > F.col("threshold"), F.lit(False)))
+
+
+def group_periodogram(tested: DataFrame) -> DataFrame:
+    """(condition, period, n_slots, threshold, qp, qp_sem, n_rhythmic, n_total, tau, tau_sem): means over the subjects whose greatest Qp is over the line.
+
+    tau is the mean of their best periods. A condition without such a subject has a row for each period with nulls in the means."""
+    best = tested.withColumn("_r", F.row_number().over(Window.partitionBy(*WHO).orderBy(F.desc_nulls_last("qp"), "period"))).filter("_r = 1")
+    per = best.groupBy("condition").agg(F.count("*").alias("n_total"), F.count_if("rhythmic").alias("n_rhythmic"), F.avg(F.when(F.col("rhythmic"), F.col("period"))).alias("tau"), *_sem(F.when(F.col("rhythmic"), F.col("period")), "tau_sem"))
+    of = tested.join(best.filter("rhythmic").select(F.col("condition").alias("_c"), F.col("subject").alias("_s"), F.lit(True).alias("_in")), F.col("condition").eqNullSafe(F.col("_c")) & F.col("subject").eqNullSafe(F.col("_s")), "left")
+    qp = F.when(F.col("_in"), F.col("qp"))
+    lines = of.groupBy("condition", "period", "n_slots").agg(F.max("threshold").alias("threshold"), F.avg(qp).alias("qp"), *_sem(qp, "qp_sem"))
+    per = per.withColumnRenamed("condition", "_c")
+    return lines.join(per, F.col("condition").eqNullSafe(F.col("_c"))).drop("_c")
+
+
+def _sem(c, name: str) -> list:  # noqa: ANN001
+    """Standard error of the mean; 0 for one value."""
+    return [F.when(F.count(c) > 0, F.coalesce(F.stddev_samp(c) / F.sqrt(F.count(c)), F.lit(0.0))).alias(name)]
+
+
 def best_chi2(qp: DataFrame, keys: list[str] = WHO) -> DataFrame:
     return qp.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("qp"), "period"))).filter("_r = 1").drop("_r")
 
@@ -131,6 +167,27 @@ def alpha_rho(rows: DataFrame, k: float = 0.0) -> DataFrame:
     return active.groupBy(*WHO).agg(F.count("*").alias("n_bins"), (24 * F.count_if("_over") / F.count("*")).alias("alpha_hours")).withColumn("rho_hours", 24 - F.col("alpha_hours"))
 
 
+def days_alpha_rho(rows: DataFrame, threshold: str = "mean", keys: list[str] = WHO) -> DataFrame:
+    """(keys, day, alpha_hours, rho_hours, onset, offset): of each day's profile over zt, the hours over its mean ("mean") or lower quartile
+    ("percentile25"), and the first and last zt over it (null if none is)."""
+    profile_ = with_day(rows).groupBy(*keys, "day", "zt").agg(F.avg("activity").alias("_a"))
+    line = F.avg("_a") if threshold == "mean" else F.expr("percentile(_a, 0.25)")
+    over = F.coalesce(F.col("_a") > line.over(Window.partitionBy(*keys, "day")), F.lit(False))
+    return profile_.withColumn("_over", over).groupBy(*keys, "day").agg(
+        (24 * F.count_if("_over") / F.count("*")).alias("alpha_hours"), (24 - 24 * F.count_if("_over") / F.count("*")).alias("rho_hours"),
+        F.min(F.when(F.col("_over"), F.col("zt"))).alias("onset"), F.max(F.when(F.col("_over"), F.col("zt"))).alias("offset"),
+    )
+
+
+def alpha_rho_summary(days: DataFrame, keys: list[str] = WHO) -> DataFrame:
+    """Means and population standard deviations over days; those of onset and offset tell how regular they are."""
+    spread = lambda c: F.coalesce(F.stddev_pop(c), F.lit(0.0))
+    return days.groupBy(*keys).agg(
+        F.count("*").alias("n_days"), F.avg("alpha_hours").alias("alpha_mean"), spread("alpha_hours").alias("alpha_sd"), F.avg("rho_hours").alias("rho_mean"), spread("rho_hours").alias("rho_sd"),
+        spread("onset").alias("onset_sd"), spread("offset").alias("offset_sd"),
+    )
+
+
 def profile(rows: DataFrame, periods: Sequence[float], bin_hours: float) -> Mapping[str, DataFrame]:
     """The tables of an activity analysis; each is lazy."""
     share = normalised(rows)
@@ -139,4 +196,5 @@ def profile(rows: DataFrame, periods: Sequence[float], bin_hours: float) -> Mapp
     return {
         "matrix": matrix(share), "actogram": actogram(share), "daily_totals": daily_totals(rows), "onset_offset": onset_offset(rows),
         "periodogram": qp, "periods": best, "representative": representative(best), "is_iv": is_iv(rows), "alpha_rho": alpha_rho(rows),
+        "group_periodogram": group_periodogram(chi2_tested(qp)), "days_alpha_rho": days_alpha_rho(rows), "alpha_rho_summary": alpha_rho_summary(days_alpha_rho(rows)),
     }

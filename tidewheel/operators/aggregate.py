@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators.model import SERIES
@@ -33,14 +33,43 @@ def average_ranks(long: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     return long.withColumn("rank", F.rank().over(series.orderBy("value")) + (F.count("*").over(Window.partitionBy(*keys, "value")) - 1) / 2)
 
 
+#: Steps of the classes of p-values: so many for each unit above 1 / P_STEPS, then so many for each halving.
+P_STEPS, P_HALVES = 1024, 8
+
+
+def p_class(p: Column) -> Column:
+    """A class of p-values that grows with them; about 10,000 classes in all."""
+    small = F.floor(F.log2(F.greatest(p * P_STEPS, F.lit(1e-307))) * P_HALVES)
+    return F.when(p * P_STEPS >= 1, F.floor(p * P_STEPS)).otherwise(small).cast("int")
+
+
 def adjusted(results: DataFrame, p: str = "p_value", family: list[str] | None = None) -> DataFrame:
-    """results with q_bonferroni and q_bh (step-up, monotone) over each family of tests; null p-values are not counted."""
-    fam = Window.partitionBy(*(family or [F.lit(0)]))
-    n = F.count(p).over(fam)
-    rank = F.rank().over(fam.orderBy(F.col(p).asc_nulls_last())) + F.count(p).over(Window.partitionBy(*(family or []), p)) - 1
-    raw = results.withColumn("q_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.col(p) * n, F.lit(1.0)))).withColumn("_q", F.col(p) * n / rank)
-    up = fam.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("q_bh", F.when(F.col(p).isNotNull(), F.least(F.min("_q").over(up), F.lit(1.0)))).drop("_q")
+    """results with q_bonferroni and q_bh (step-up, monotone) over each family of tests; null p-values are not counted.
+
+    Distinct p-values are counted, ranked inside classes of p and shifted by the counts of the classes below; the running minimum from the
+    greatest p down goes the same way. No task orders more than a class, and no window spans a family but those over classes."""
+    fam = family or []
+    v = F.col("_p")
+    same = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in fam]
+    named = [F.col(k).alias(f"_f_{k}") for k in fam]
+    keys = [f"_f_{k}" for k in fam]
+    per = results.filter(F.col(p).isNotNull()).groupBy(*named, F.col(p).alias("_p")).agg(F.count("*").alias("_c")).withColumn("_b", p_class(v))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_p")
+    per = per.withColumn("_in", F.sum("_c").over(inside))
+    below, above = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys).orderBy(F.desc("_b"))  # a row for each class
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        right = right.withColumnsRenamed({k: f"{k}_r" for k in on})
+        return left.join(right, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in on]).drop(*(f"{k}_r" for k in on))
+
+    classes = per.groupBy(*keys, "_b").agg(F.sum("_c").alias("_k"))
+    offsets = classes.withColumn("_before", F.sum("_k").over(below) - F.col("_k")).withColumn("_m", F.sum("_k").over(Window.partitionBy(*keys)))
+    raw = joined(per, offsets, [*keys, "_b"]).withColumn("_q", v * F.col("_m") / (F.col("_before") + F.col("_in")))
+    least = raw.groupBy(*keys, "_b").agg(F.min("_q").alias("_least")).withColumn("_higher", F.min("_least").over(above.rowsBetween(Window.unboundedPreceding, -1)))
+    up = F.min("_q").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    done = joined(raw.withColumn("_up", up), least.drop("_least"), [*keys, "_b"])
+    done = done.select(*keys, "_p", F.least(v * F.col("_m"), F.lit(1.0)).alias("q_bonferroni"), F.least("_up", "_higher", F.lit(1.0)).alias("q_bh"))
+    return results.join(done, [*same, F.col(p) == v], "left").drop(*keys, "_p")
 
 
 def kendall_sums(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,15 +93,19 @@ def condition_pairs(long: DataFrame) -> DataFrame:
 
 
 def nearest_times(series: DataFrame, step: float, keys: list[str]) -> DataFrame:
-    """For each multiple of step inside a series' span the row with the nearest time (the earlier of two as near), each row once.
-
-    A row's candidates are the multiples at either side of it, so that the match is an aggregate, not a range join."""
-    up = F.ceil(F.col("time") / step)
-    candidates = series.withColumn("_k", F.explode(F.array_distinct(F.array(up - 1, up))))
-    span = Window.partitionBy(*keys)
-    inside = candidates.withColumn("_lo", F.min("time").over(span)).withColumn("_hi", F.max("time").over(span)).withColumn("target", F.col("_k") * F.lit(float(step)))
-    best = inside.filter("target >= _lo and target <= _hi").groupBy(*keys, "target").agg(F.min_by("time", F.struct(F.abs(F.col("time") - F.col("target")), "time")).alias("time"))
-    return best.groupBy(*keys, "time").agg(F.min("target").alias("target"))
+    """Every step from a series' first time on, up to half a step beyond its last one, the row with the nearest time (the earlier of two as near), each row once.
+
+    Targets stand among the times of their series, and each takes the last time up to it or the first one after it: an as-of match in one window."""
+    ends = series.filter("time is not null").groupBy(*keys).agg(F.min("time").alias("_lo"), F.max("time").alias("_hi"))
+    most = F.ceil((F.col("_hi") - F.col("_lo")) / step + 0.5) - 1  # the last multiple under the end
+    targets = ends.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(most, F.lit(0)).cast("long"))).alias("_k"), "_lo").withColumn("target", F.col("_lo") + F.col("_k") * float(step))
+    times = series.filter("time is not null").select(*keys, F.col("time").alias("_at"), F.col("time").cast("double").alias("_t"), F.lit(None).cast("double").alias("target"))
+    both = times.unionByName(targets.select(*keys, F.col("target").alias("_at"), F.lit(None).cast("double").alias("_t"), "target"))
+    by = Window.partitionBy(*keys).orderBy("_at")
+    before, after = F.last("_t", True).over(by.rangeBetween(Window.unboundedPreceding, 0)), F.first("_t", True).over(by.rangeBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("_a", before).withColumn("_z", after).filter("target is not null")
+    time = F.when(F.col("_a").isNull() | (F.col("_z") - F.col("target") < F.col("target") - F.col("_a")), F.col("_z")).otherwise(F.col("_a"))
+    return near.withColumn("time", time).groupBy(*keys, "time").agg(F.min("target").alias("target"))
 
 
 def first_difference(series: DataFrame, keys: list[str] = SERIES) -> DataFrame:

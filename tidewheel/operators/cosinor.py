@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.columns import angle, f_tail, hours, wrapped
+from tidewheel.functions.columns import angle, f_tail, hours, t_tail, wrapped
 from tidewheel.operators.model import SERIES, drop_missing
 
 
@@ -15,48 +15,60 @@ def grid(first: float, last: float, step: float) -> list[float]:
     return [round(first + i * step, 10) for i in range(int(round((last - first) / step)) + 1)]
 
 
-def cosinor(long: DataFrame, periods: Sequence[float] = (24.0,), keys: list[str] = SERIES) -> DataFrame:
-    """One row for each series and period: n, mesor, amplitude, acrophase (radians and hours), r2, p_value and the F test's adjustment for the periods.
+def over_periods(long: DataFrame, periods: Sequence[float], keys: list[str], sums: Callable[[Column, Column], list[Column]]) -> DataFrame:
+    """(keys, period, n, my, vy and the sums of cosine and sine) in one scan: rows meet the periods in a generator, and partial sums leave each task before the shuffle."""
+    grid_ = F.explode(F.array(*(F.lit(float(p)) for p in periods))).alias("period")
+    at = angle(F.col("time"), F.col("period"))
+    rows = drop_missing(long).select(*keys, "time", "value", grid_).withColumn("_c", F.cos(at)).withColumn("_s", F.sin(at))
+    return rows.groupBy(*keys, "period").agg(F.count("*").alias("n"), F.avg("value").alias("my"), F.var_pop("value").alias("vy"), *sums(F.col("_c"), F.col("_s")))
 
-    With fewer than 4 points, constant values or times that don't tell cosine from sine the results are null and success is false.
-    Nothing is repeated for the periods but the sums: each row is read once and the sums of all periods are columns of one aggregate.
-    """
-    ps = [float(p) for p in periods]
-    y, t = F.col("value"), F.col("time")
 
-    def sums(p: float) -> Column:
-        c, s = F.cos(angle(t, p)), F.sin(angle(t, p))
-        return F.struct(
-            F.lit(p).alias("period"), F.avg(c).alias("mc"), F.avg(s).alias("ms"), F.var_pop(c).alias("cc"), F.var_pop(s).alias("ss"),
-            F.covar_pop(c, s).alias("cs"), F.covar_pop(c, y).alias("cy"), F.covar_pop(s, y).alias("sy"),
-        )
+def cosinor(long: DataFrame, periods: Sequence[float] = (24.0,), keys: list[str] = SERIES, semantics: str = "corrected") -> DataFrame:
+    """One row for each series and period: n, mesor, amplitude, acrophase (radians and hours), r2, p_value and the F test's adjustment for
+    the periods, standard errors and 1.96 intervals by the delta method, and the t tests of the cosine's and sine's coefficients (amplitude_p, acrophase_p).
 
-    out = None
-    for lo in range(0, len(ps), 32):  # as many sums as generated code holds well
-        part = drop_missing(long).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("yy"), *(sums(p).alias(f"_s{i}") for i, p in enumerate(ps[lo : lo + 32])))
-        part = part.select(*keys, "n", "my", "yy", F.explode(F.array(*(F.col(f"_s{i}") for i in range(len(ps[lo : lo + 32]))))).alias("s")).select(*keys, "n", "my", "yy", "s.*")
-        out = part if out is None else out.unionByName(part)
-    return solved(out, keys, len(ps))
+    With fewer than 4 points, constant values or times that don't tell cosine from sine the results are null and success is false.
+    semantics: "reference" exchanges the variances of the two coefficients in the amplitude's error, "corrected" doesn't.
+    """
+    y = F.col("value")
+    moments = over_periods(long, periods, keys, lambda c, s: [
+        F.avg(c).alias("mc"), F.avg(s).alias("ms"), F.var_pop(c).alias("cc"), F.var_pop(s).alias("ss"),
+        F.covar_pop(c, s).alias("cs"), F.covar_pop(c, y).alias("cy"), F.covar_pop(s, y).alias("sy"),
+    ])
+    return solved(moments.withColumnRenamed("vy", "yy"), keys, len(periods), semantics)
 
 
-def solved(sums: DataFrame, keys: list[str], n_periods: int = 1) -> DataFrame:
+def solved(sums: DataFrame, keys: list[str], n_periods: int = 1, semantics: str = "corrected") -> DataFrame:
     """The fits from the moments of value, cosine and sine."""
+    if semantics not in ("corrected", "reference"):
+        raise ValueError(f"semantics is corrected or reference, not {semantics}")
     det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
     fine = (F.col("n") >= 4) & (det > 1e-12) & (F.col("yy") > 0)
     b = F.when(fine, (F.col("cy") * F.col("ss") - F.col("sy") * F.col("cs")) / det)
     g = F.when(fine, (F.col("sy") * F.col("cc") - F.col("cy") * F.col("cs")) / det)
-    r2 = F.when(F.col("_b").isNotNull(), F.least(F.greatest((F.col("_b") * F.col("cy") + F.col("_g") * F.col("sy")) / F.col("yy"), F.lit(0.0)), F.lit(1.0)))
+    beta, gamma = F.col("_b"), F.col("_g")
+    r2 = F.when(beta.isNotNull(), F.least(F.greatest((beta * F.col("cy") + gamma * F.col("sy")) / F.col("yy"), F.lit(0.0)), F.lit(1.0)))
     phase = wrapped(F.atan2("_g", "_b"))
-    return (
-        sums.withColumn("_b", b).withColumn("_g", g).withColumn("r2", r2)
-        .withColumn("p_value", f_tail(F.col("r2"), 1, F.col("n").cast("double")))
-        .select(
-            *keys, "period", "n", (F.col("my") - F.col("_b") * F.col("mc") - F.col("_g") * F.col("ms")).alias("mesor"),
-            F.sqrt(F.col("_b") * F.col("_b") + F.col("_g") * F.col("_g")).alias("amplitude"), phase.alias("acrophase"),
-            hours(phase, F.col("period")).alias("peak_hour"), F.col("_b").alias("beta_cos"), F.col("_g").alias("beta_sin"), "r2", "p_value",
-            F.when(F.col("p_value").isNotNull(), F.least(F.col("p_value") * n_periods, F.lit(1.0))).alias("p_adjusted"), F.col("_b").isNotNull().alias("success"),
-        )
+    unit = F.col("yy") * (1 - F.col("r2")) / (F.col("n") - 3)  # residual variance over n
+    cov = [("_vb", unit * F.col("ss") / det), ("_vg", unit * F.col("cc") / det), ("_vbg", -unit * F.col("cs") / det)]
+    vb, vg, vbg = F.col("_vb"), F.col("_vg"), F.col("_vbg")
+    square = beta * beta + gamma * gamma
+    first, second = (vb, vg) if semantics == "corrected" else (vg, vb)
+    amp_se = F.sqrt(F.greatest((beta * beta * first + gamma * gamma * second + 2 * beta * gamma * vbg) / F.nullif(square, F.lit(0.0)), F.lit(0.0)))
+    phase_se = F.sqrt(F.greatest((gamma * gamma * vb + beta * beta * vg - 2 * beta * gamma * vbg) / F.nullif(square * square, F.lit(0.0)), F.lit(0.0)))
+    mesor_se = F.sqrt(F.greatest(unit + F.col("mc") * F.col("mc") * vb + F.col("ms") * F.col("ms") * vg + 2 * F.col("mc") * F.col("ms") * vbg, F.lit(0.0)))
+    out = sums.withColumn("_b", b).withColumn("_g", g).withColumn("r2", r2).withColumns(dict(cov))
+    t_p = lambda x, v: t_tail(F.abs(x) / F.sqrt(F.nullif(v, F.lit(0.0))), (F.col("n") - 3).cast("double"))
+    out = out.withColumn("p_value", f_tail(F.col("r2"), 1, F.col("n").cast("double"))).select(
+        *keys, "period", "n", (F.col("my") - beta * F.col("mc") - gamma * F.col("ms")).alias("mesor"),
+        F.sqrt(square).alias("amplitude"), phase.alias("acrophase"),
+        hours(phase, F.col("period")).alias("peak_hour"), beta.alias("beta_cos"), gamma.alias("beta_sin"), "r2", "p_value",
+        F.when(F.col("p_value").isNotNull(), F.least(F.col("p_value") * n_periods, F.lit(1.0))).alias("p_adjusted"), beta.isNotNull().alias("success"),
+        mesor_se.alias("mesor_se"), amp_se.alias("amplitude_se"), phase_se.alias("acrophase_se"), t_p(beta, vb).alias("amplitude_p"), t_p(gamma, vg).alias("acrophase_p"),
     )
+    for name in ("mesor", "amplitude", "acrophase"):
+        out = out.withColumn(f"{name}_lo", F.col(name) - 1.96 * F.col(f"{name}_se")).withColumn(f"{name}_hi", F.col(name) + 1.96 * F.col(f"{name}_se"))
+    return out
 
 
 def best_period(fits: DataFrame, keys: list[str] = SERIES) -> DataFrame:
@@ -97,22 +109,10 @@ def lomb_scargle(long: DataFrame, periods: Sequence[float], keys: list[str] = SE
 
     power = (YC^2 / CC + YS^2 / SS) / YY with the shift that makes cosine and sine orthogonal; it needs moments only.
     """
-    ps = [float(p) for p in periods]
-    y, t = F.col("value"), F.col("time")
-
-    def sums(p: float) -> Column:
-        c, s = F.cos(angle(t, p)), F.sin(angle(t, p))
-        return F.struct(
-            F.lit(p).alias("period"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(c * s).alias("cs"),
-            F.sum(c).alias("c"), F.sum(s).alias("s"), F.sum(c * y).alias("cy"), F.sum(s * y).alias("sy"),
-        )
-
-    out = None
-    for lo in range(0, len(ps), 24):
-        chunk = ps[lo : lo + 24]
-        part = drop_missing(long).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("vy"), *(sums(p).alias(f"_s{i}") for i, p in enumerate(chunk)))
-        part = part.select(*keys, "n", "my", "vy", F.explode(F.array(*(F.col(f"_s{i}") for i in range(len(chunk))))).alias("x")).select(*keys, "n", "my", "vy", "x.*")
-        out = part if out is None else out.unionByName(part)
+    y = F.col("value")
+    out = over_periods(long, periods, keys, lambda c, s: [
+        F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(c * s).alias("cs"), F.sum(c).alias("c"), F.sum(s).alias("s"), F.sum(c * y).alias("cy"), F.sum(s * y).alias("sy"),
+    ])
     tau = F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss")) / 2
     ct, st = F.cos("_t"), F.sin("_t")
     yc, ys = F.col("cy") - F.col("my") * F.col("c"), F.col("sy") - F.col("my") * F.col("s")

@@ -7,11 +7,12 @@ and its message, so that one series never fails a job. Seeds come from the serie
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,26 +117,61 @@ def detect(long: DataFrame, method: str, keys: list[str] = SERIES, **how) -> Dat
 _PAIR = ", ".join(f"{n} double, {n}_lo double, {n}_hi double" for n in ("mesor", "amplitude", "acrophase", "d_mesor", "d_amplitude", "d_acrophase"))
 
 
-def compare(long: DataFrame, pairs: DataFrame, period: float = 24.0, loss: str = "huber", strict_dof: bool = False) -> DataFrame:
-    """Two-group fits of every pair of conditions (condition_0, condition_1) for every variable, with the tests of the pooled regression."""
-    a, b = pairs.withColumn("condition", F.col("condition_0")).withColumn("g", F.lit(0)), pairs.withColumn("condition", F.col("condition_1")).withColumn("g", F.lit(1))
-    rows = long.filter(present(F.col("time")) & present(F.col("value"))).join(a.unionByName(b), "condition").select("variable", "condition_0", "condition_1", "g", "time", "value")
-    tests = ["p_rhythm", "p_difference", "p_mean"]
-    flags = [f"d_{n}_differs" for n in ("mesor", "amplitude", "acrophase")]
-    names = [c.split()[0] for c in _PAIR.split(", ")] + ["d_hours", *tests]
+_GROUP = "n long, fit array<double>, jtj array<double>, rss double, xtx array<double>, xty array<double>, yty double, fitted boolean, why string"
+
+
+def fitted_groups(long: DataFrame, period: float = 24.0, loss: str = "huber") -> DataFrame:
+    """What comparisons need of each variable's conditions: one fit for each, whatever the number of pairs."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict = dict.fromkeys([*names, *flags])
-        message = ""
+        row: dict = {"fit": None, "jtj": None, "rss": None, "xtx": None, "xty": None, "yty": None, "fitted": False, "why": ""}
         try:
-            if pdf.groupby("g").size().reindex([0, 1], fill_value=0).min() < 4:
+            if len(pdf) < 4:
                 raise ValueError("either condition needs 4 points")
-            pdf = pdf.sort_values(["g", "time", "value"])
-            out |= fits.two_groups(pdf["time"].to_numpy(float), pdf["value"].to_numpy(float), pdf["g"].to_numpy(), period, loss, strict_dof)
-            out |= {k: v if np.isfinite(v) else None for k, v in fits.pooled(pdf["time"].to_numpy(float), pdf["value"].to_numpy(float), pdf["g"].to_numpy(), period).items()}
-        except Exception as e:  # a pair that can't be fitted is a row
-            message = f"{type(e).__name__}: {e}"[:300]
-        return pd.DataFrame([[*key, not message, message, *(out[n] for n in [*names, *flags])]], columns=["variable", "condition_0", "condition_1", "success", "message", *names, *flags])
+            pdf = pdf.sort_values(["time", "value"])
+            got = fits.one_group(pdf["time"].to_numpy(float), pdf["value"].to_numpy(float), period, loss)
+            row |= {k: v.ravel().tolist() if isinstance(v, np.ndarray) else v for k, v in got.items()} | {"fitted": True}
+        except Exception as e:  # a condition that can't be fitted makes its pairs fail
+            row["why"] = f"{type(e).__name__}: {e}"[:300]
+        return pd.DataFrame([{"variable": key[0], "condition": key[1], **row, "n": len(pdf)}])[["variable", "condition", *(c.split()[0] for c in _GROUP.split(", "))]]
+
+    rows = long.filter(present(F.col("time")) & present(F.col("value"))).select("variable", "condition", "time", "value")
+    return rows.groupBy("variable", "condition").applyInPandas(run, f"variable string, condition string, {_GROUP}")
+
+
+def compare(long: DataFrame, pairs: DataFrame, period: float = 24.0, loss: str = "huber", strict_dof: bool = False) -> DataFrame:
+    """Two-group fits of every pair of conditions (condition_0, condition_1) for every variable, with the tests of the pooled regression.
+
+    Each condition is fitted once; pairs join the fits, and rows aren't copied for them. A series is fitted in one task."""
+    tests = ["p_rhythm", "p_difference", "p_mean"]
+    flags = [f"d_{n}_differs" for n in ("mesor", "amplitude", "acrophase")]
+    names = [c.split()[0] for c in _PAIR.split(", ")] + ["d_hours", *tests]
+    groups = fitted_groups(long, period, loss)
+    cols = [c.split()[0] for c in _GROUP.split(", ")]
+    side = lambda i: groups.select("variable", F.col("condition").alias(f"condition_{i}"), F.struct(*cols).alias(f"g{i}"))
+    met = pairs.join(side(0), "condition_0").join(side(1), ["variable", "condition_1"]).select("variable", "condition_0", "condition_1", "g0", "g1")
+
+    def group(row: dict) -> dict:
+        square = lambda x: np.array(x).reshape(3, 3)
+        return dict(row) | {"fit": np.array(row["fit"]), "xty": np.array(row["xty"]), "jtj": square(row["jtj"]), "xtx": square(row["xtx"])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                row: dict = dict.fromkeys([*names, *flags])
+                message = r["g0"]["why"] or r["g1"]["why"]
+                if not message:
+                    try:
+                        g0, g1 = group(r["g0"]), group(r["g1"])
+                        row |= fits.two_groups(g0, g1, period, strict_dof)
+                        row |= {k: v if np.isfinite(v) else None for k, v in fits.pooled(g0, g1).items()}
+                    except Exception as e:  # a pair that can't be fitted is a row
+                        message = f"{type(e).__name__}: {e}"[:300]
+                out.append({"variable": r["variable"], "condition_0": r["condition_0"], "condition_1": r["condition_1"], "success": not message, "message": message, **row})
+            kinds = [("variable", pa.string()), ("condition_0", pa.string()), ("condition_1", pa.string()), ("success", pa.bool_()), ("message", pa.string())]
+            kinds += [(n, pa.float64()) for n in names] + [(f, pa.bool_()) for f in flags]
+            yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
 
     schema = f"variable string, condition_0 string, condition_1 string, success boolean, message string, {_PAIR}, d_hours double, {', '.join(f'{c} double' for c in tests)}, " + ", ".join(f"{f} boolean" for f in flags)
-    return rows.groupBy("variable", "condition_0", "condition_1").applyInPandas(run, schema)
+    return met.mapInArrow(run, schema)

@@ -193,10 +193,9 @@ def condition_pairs(spark, sf):  # noqa: ANN001, ANN201
 
 
 @query(
-    """k AS (SELECT condition, unnest(range(0, 240)) * 3.0 AS target FROM (SELECT DISTINCT condition FROM h)),
-e AS (SELECT condition, min(time) AS lo, max(time) AS hi FROM h GROUP BY condition),
-m AS (SELECT k.condition, k.target, h.time, row_number() OVER (PARTITION BY k.condition, k.target ORDER BY abs(h.time - k.target), h.time) AS i
-      FROM k JOIN e USING (condition) JOIN h ON h.condition = k.condition AND abs(h.time - k.target) <= 3 WHERE k.target BETWEEN e.lo AND e.hi)
+    """e AS (SELECT condition, min(time) AS lo, max(time) AS hi FROM h GROUP BY condition),
+k AS (SELECT condition, lo + 3.0 * unnest(range(0, ceil((hi - lo) / 3.0 + 0.5)::BIGINT)) AS target FROM e),
+m AS (SELECT k.condition, k.target, h.time, row_number() OVER (PARTITION BY k.condition, k.target ORDER BY abs(h.time - k.target), h.time) AS i FROM k JOIN h ON h.condition = k.condition)
 SELECT condition, time, min(target)::DOUBLE AS target FROM m WHERE i = 1 GROUP BY ALL"""
 )
 def nearest_time_subsample(spark, sf):  # noqa: ANN001, ANN201
@@ -324,7 +323,7 @@ m AS (SELECT {keys}, period, count(*) AS n, avg(value) AS my, var_pop(value) AS
 w AS (SELECT *, CASE WHEN n >= 4 AND cc * ss - cs * cs > 1e-12 AND yy > 0 THEN (cy * ss - sy * cs) / (cc * ss - cs * cs) END AS b,
  CASE WHEN n >= 4 AND cc * ss - cs * cs > 1e-12 AND yy > 0 THEN (sy * cc - cy * cs) / (cc * ss - cs * cs) END AS g FROM m),
 fit AS (SELECT {keys}, period, n::BIGINT AS n, my - b * mc - g * ms AS mesor, sqrt(b * b + g * g) AS amplitude, b, g,
- (atan2(g, b) + 2 * pi()) - 2 * pi() * floor((atan2(g, b) + 2 * pi()) / (2 * pi())) AS phase, least(greatest((b * cy + g * sy) / yy, 0), 1) AS r2 FROM w),
+ (atan2(g, b) + 2 * pi()) - 2 * pi() * floor((atan2(g, b) + 2 * pi()) / (2 * pi())) AS phase, least(greatest((b * cy + g * sy) / yy, 0), 1) AS r2, mc, ms, cc, ss, cs, yy FROM w),
 fits AS (SELECT *, phase * period / (2 * pi()) AS peak_hour, pow(1 - r2, (n - 3) / 2.0) AS p_value FROM fit)"""
 
 
@@ -333,6 +332,29 @@ def cosinor_24h(spark, sf):  # noqa: ANN001, ANN201
     return rounded(cos.cosinor(hourly(spark, sf)).select("condition", "period", "n", "mesor", "amplitude", "peak_hour", "r2", "p_value", "success"))
 
 
+def t_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t, by the finite sums of whole degrees of freedom."""
+    c = f"({df} / ({df} + {t} * {t}))"
+    even = f"sqrt(1 - {c}) * list_sum([exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow({c}, j) FOR j IN range(0, ({df} // 2)::BIGINT)])"
+    odd = f"2 / pi() * (acos(sqrt({c})) + sqrt({c} * (1 - {c})) * list_sum([exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow({c}, j) FOR j IN range(0, (({df} - 1) // 2)::BIGINT)]))"
+    return f"1 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+ERRORS = f"""{fits_sql([24.0, 12.0])},
+v AS (SELECT *, yy * (1 - r2) / (n - 3) AS u, cc * ss - cs * cs AS det FROM fits),
+e AS (SELECT *, u * ss / det AS vb, u * cc / det AS vg, -u * cs / det AS vbg, b * b + g * g AS a2, n - 3 AS df FROM v),
+er AS (SELECT condition, period, df, abs(b) / sqrt(vb) AS tb, abs(g) / sqrt(vg) AS tg, mesor, amplitude, phase,
+ sqrt(u + mc * mc * vb + ms * ms * vg + 2 * mc * ms * vbg) AS mesor_se, sqrt((b * b * vb + g * g * vg + 2 * b * g * vbg) / a2) AS amplitude_se, sqrt((g * g * vb + b * b * vg - 2 * b * g * vbg) / (a2 * a2)) AS acrophase_se FROM e)"""
+
+
+@query(
+    f"{ERRORS} SELECT condition, period, {r('mesor_se', 'mesor_se')}, {r('amplitude_se', 'amplitude_se')}, {r('acrophase_se', 'acrophase_se')}, {r('mesor - 1.96 * mesor_se', 'mesor_lo')}, {r('amplitude - 1.96 * amplitude_se', 'amplitude_lo')}, "
+    f"{r('amplitude + 1.96 * amplitude_se', 'amplitude_hi')}, {r('phase + 1.96 * acrophase_se', 'acrophase_hi')}, {r(t_sql('tb', 'df'), 'amplitude_p')}, {r(t_sql('tg', 'df'), 'acrophase_p')} FROM er"
+)
+def cosinor_errors(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(cos.cosinor(hourly(spark, sf), [24.0, 12.0]).select("condition", "period", "mesor_se", "amplitude_se", "acrophase_se", "mesor_lo", "amplitude_lo", "amplitude_hi", "acrophase_hi", "amplitude_p", "acrophase_p"))
+
+
 @query(f"{fits_sql([24.0])} SELECT condition, period, i * 0.5::DOUBLE AS time, {r('mesor + amplitude * cos(2 * pi() * (i * 0.5 - peak_hour) / 24)', 'fitted')} FROM fits, range(48) AS q(i)")
 def cosinor_curve(spark, sf):  # noqa: ANN001, ANN201
     return rounded(cos.predict(cos.cosinor(hourly(spark, sf)), 48).drop("variable"))
@@ -437,6 +459,45 @@ def chi2_periodogram(spark, sf):  # noqa: ANN001, ANN201
     return rounded(act.chi2_periodogram(activity(spark, sf), CHI_PERIODS, 1.0))
 
 
+#: With an odd number of slots the degrees of freedom are even and the tail is a finite sum.
+ODD_PERIODS = [19.0, 21.0, 23.0, 25.0, 27.0]
+CHI_TESTS = f"""{CHI.replace(repr(CHI_PERIODS), repr(ODD_PERIODS))},
+te AS (SELECT *, list_sum([exp(-qp / 2 + j * ln(qp / 2) - lgamma(j + 1)) FOR j IN range(0, ((n_slots - 1) // 2)::BIGINT)]) AS p FROM qp WHERE qp > 0)"""
+
+
+@query(f"{CHI_TESTS} SELECT condition, subject, period, {r('p', 'p_value')}, p < 0.05 AS rhythmic FROM te")
+def chi2_significance(spark, sf):  # noqa: ANN001, ANN201
+    tested = act.chi2_tested(act.chi2_periodogram(activity(spark, sf), ODD_PERIODS, 1.0).filter("qp > 0"))
+    return rounded(tested.select("condition", "subject", "period", "p_value", "rhythmic"))
+
+
+@query(
+    f"""{CHI_TESTS}, be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition, subject ORDER BY qp DESC, period) AS i FROM te) WHERE i = 1),
+pe AS (SELECT condition AS c, count(*) AS nt, count(*) FILTER (p < 0.3) AS nr, avg(period) FILTER (p < 0.3) AS tau, coalesce(stddev_samp(period) FILTER (p < 0.3) / sqrt(count(*) FILTER (p < 0.3)), 0) AS tau_sem FROM be GROUP BY 1)
+SELECT te.condition, te.period, te.n_slots, {r('avg(te.qp) FILTER (be.p < 0.3)', 'qp')}, {r('coalesce(stddev_samp(te.qp) FILTER (be.p < 0.3) / sqrt(count(*) FILTER (be.p < 0.3)), 0.0)', 'qp_sem')}, max(nr)::BIGINT AS n_rhythmic, max(nt)::BIGINT AS n_total, {r('max(tau)', 'tau')}
+FROM te JOIN be ON be.condition = te.condition AND be.subject = te.subject JOIN pe ON pe.c = te.condition WHERE nr > 0 GROUP BY ALL"""
+)
+def group_periodogram(spark, sf):  # noqa: ANN001, ANN201
+    tested = act.chi2_tested(act.chi2_periodogram(activity(spark, sf), ODD_PERIODS, 1.0).filter("qp > 0"), 0.3)
+    return rounded(act.group_periodogram(tested).filter("n_rhythmic > 0").drop("threshold", "tau_sem"))
+
+
+ALPHA_DAYS = """pr AS (SELECT condition, subject, day, zt, avg(activity) AS av FROM d GROUP BY ALL),
+ov AS (SELECT *, av > avg(av) OVER (PARTITION BY condition, subject, day) AS o FROM pr),
+ad AS (SELECT condition, subject, day, 24.0 * count(*) FILTER (o) / count(*) AS alpha, min(zt) FILTER (o) AS onset, max(zt) FILTER (o) AS fin FROM ov GROUP BY ALL)"""
+
+
+@query(f'{ALPHA_DAYS} SELECT condition, subject, day, {r("alpha", "alpha_hours")}, {r("24 - alpha", "rho_hours")}, onset, fin AS "offset" FROM ad')
+def alpha_rho_days(spark, sf):  # noqa: ANN001, ANN201
+    days = act.days_alpha_rho(activity(spark, sf))
+    return days.select("condition", "subject", "day", F.round(F.col("alpha_hours") + NUDGE, 4).alias("alpha_hours"), F.round(F.col("rho_hours") + NUDGE, 4).alias("rho_hours"), "onset", "offset")
+
+
+@query(f"{ALPHA_DAYS} SELECT condition, subject, count(*)::BIGINT AS n_days, {r('avg(alpha)', 'alpha_mean')}, {r('stddev_pop(alpha)', 'alpha_sd')}, {r('24 - avg(alpha)', 'rho_mean')}, {r('stddev_pop(alpha)', 'rho_sd')}, {r('coalesce(stddev_pop(onset), 0.0)', 'onset_sd')}, {r('coalesce(stddev_pop(fin), 0.0)', 'offset_sd')} FROM ad GROUP BY ALL")
+def alpha_rho_summary(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(act.alpha_rho_summary(act.days_alpha_rho(activity(spark, sf))))
+
+
 @query(
     f"""{CHI}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition, subject ORDER BY qp DESC NULLS LAST, period) AS i FROM qp) WHERE i = 1),
 md AS (SELECT condition, median(period) AS median_period FROM b GROUP BY 1)
