@@ -3,7 +3,8 @@
 The turns before it are its context, rendered with role tags; only the reply and its end tag are
 trainable, given as a span of characters in the rendered text.
 
-Cost: one shuffle by conversation; the output repeats each context, which is what the format asks for.
+Cost: one shuffle by conversation, in which repeated turns are told by a hash set; a conversation is put together in one task. The
+output repeats each context, which is what the format asks for: a conversation's rows grow with the square of its replies.
 
 Defined cases: rows without a conversation id belong to none and are left out; rows that are equal in
 conversation, turn, role and text count once; turns with equal numbers are ordered by role and text,
@@ -28,7 +29,7 @@ def examples(turns: DataFrame) -> DataFrame:
         turns.filter(F.col("conv_id").isNotNull())
         .select("conv_id", F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
         .groupBy("conv_id")
-        .agg(F.sort_array(F.array_distinct(F.collect_list("t"))).alias("ts"))
+        .agg(F.sort_array(F.collect_set("t")).alias("ts"))
         .withColumn("said", F.transform("ts", lambda t: F.concat(F.lit(OPEN), t.role, F.lit(MID), t.text, F.lit(END))))
         .select("conv_id", "ts", "said", F.explode(F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: (F.get("ts", i - 1).role == "assistant") & (F.btrim(F.get("ts", i - 1).text, F.lit(" \t\n\r")) != ""))).alias("i"))
     )
