@@ -146,6 +146,88 @@ def test_count_models():
         fits.count_model(t, t - 5)
 
 
+def test_mixed_models_against_the_dense_likelihood():
+    rng = np.random.default_rng(5)
+    group = np.repeat(np.arange(5), [9, 12, 7, 10, 12])
+    t = rng.random(50) * 48
+    age = rng.random(50)
+    y = 4 + 2 * np.cos(2 * np.pi * (t - 5) / 24) + 3 * age + rng.normal(0, 2, 5)[group] + rng.normal(0, 1, 50)
+    for reml in (True, False):
+        m = fits.mixed(t, y, group, covariates=age[:, None], reml=reml)
+        x = np.column_stack([fits.design(t, 24), age])
+
+        def dense(x, ratio, reml=reml):
+            v = np.eye(50) + ratio * (group[:, None] == group[None, :])
+            w = np.linalg.inv(v)
+            beta = np.linalg.solve(x.T @ w @ x, x.T @ w @ y)
+            rest = y - x @ beta
+            dof = 50 - x.shape[1] if reml else 50
+            s2 = rest @ w @ rest / dof
+            ll = -0.5 * (dof * math.log(2 * math.pi * s2) + dof + np.linalg.slogdet(v)[1] + (np.linalg.slogdet(x.T @ w @ x)[1] if reml else 0))
+            return ll, beta, s2
+
+        ratios = np.exp(np.linspace(-8, 4, 1500))
+        at = max(ratios, key=lambda r: dense(x, r)[0])
+        ll, beta, s2 = dense(x, at)
+        ll0 = max(dense(x[:, [0, 3]], r)[0] for r in ratios)
+        assert m["mesor"] == pytest.approx(beta[0], rel=1e-3) and m["covariates"] == pytest.approx([beta[3]], rel=1e-2)
+        assert m["residual_variance"] == pytest.approx(s2, rel=1e-2) and m["group_variance"] == pytest.approx(at * s2, rel=3e-2)
+        assert m["lr"] == pytest.approx(2 * (ll - ll0), rel=1e-3) and m["p_value"] < 1e-6
+    assert fits.dummies(np.array(["b", "a", "b", "c"], object)).tolist() == [[1, 0], [0, 0], [1, 0], [0, 1]] and fits.dummies(np.array([1, 2.5])).tolist() == [[1], [2.5]]
+
+
+def test_two_replicates():
+    t = np.arange(0, 48, 2.0)
+    a, b = series(), series(seed=9)
+    got = spectra.paired_fourier_score(t, a, b, permutations=300)
+    power = lambda y: np.abs(((y - y.mean()) * np.exp(-2j * np.pi * 2 * np.arange(24) / 24)).sum()) ** 2 / 24
+    assert got["power"] == pytest.approx((power(a) + power(b)) / 2) and got["score"] > 5 and got["agreement"] == 1 and got["dominant_period"] == 24
+    assert spectra.paired_fourier_score(t, a, -b, permutations=10)["agreement"] == -1
+    noise = np.random.default_rng(3)
+    assert spectra.paired_fourier_score(t, noise.normal(size=24), noise.normal(size=24))["score"] < 4
+    times, x, y = spectra.first_two(np.tile(t, 2), np.append(a, b), np.repeat(["r2", "r1"], 24))
+    assert (times == t).all() and (x == b).all() and (y == a).all()
+    with pytest.raises(ValueError, match="two replicates"):
+        spectra.first_two(t, a, np.repeat(["r1"], 24))
+
+
+def test_intervals_of_count_models():
+    rng = np.random.default_rng(8)
+    t = np.tile(np.arange(0, 48, 2.0), 5)
+    y = rng.poisson(np.exp(2 + 0.9 * np.cos(2 * np.pi * (t - 1) / 24))).astype(float)
+    best = fits.best_count_model(t, y, ("poisson",), (1,))
+    got = fits.resampled_intervals(t, y, best, rounds=8)
+    assert got["amplitude_lo"] < best["amplitude"] < got["amplitude_hi"] and got["mesor_lo"] - 0.5 < best["mesor"] < got["mesor_hi"] + 0.5
+    assert got["peaks_matched"] == [8] and got["peaks_lo"][0] < best["peaks"][0] < got["peaks_hi"][0] and got["heights_hi"][0] > best["heights"][0] > got["heights_lo"][0]
+    late = fits.resampled_intervals(t, y, best | {"peaks": [0.0, 12.0]}, rounds=4, tolerance=3)
+    assert late["peaks_matched"] == [4, 0] and math.isnan(late["peaks_lo"][1]) and late["peaks_lo"][0] > -1
+    all_ = fits.count_models(t, y, ("nb", "poisson"), (1, 2))
+    assert [(m["model"], m["components"]) for m in all_] == [("nb", 1), ("nb", 2), ("poisson", 1), ("poisson", 2)]
+
+
+def test_vuong_both_ways():
+    rng = np.random.default_rng(4)
+    t = np.tile(np.arange(0, 48, 1.0), 3)
+    wide = rng.negative_binomial(np.exp(1.5 + 0.8 * np.cos(2 * np.pi * t / 24)) / 3, 0.25).astype(float)
+    p, nb = fits.count_model(t, wide, "poisson"), fits.count_model(t, wide, "nb")
+    assert fits.prefers(nb, p) and not fits.prefers(p, nb)
+    z = (nb["loglik"] - p["loglik"]) / math.sqrt(((nb["each"] - p["each"]) ** 2).sum())
+    assert fits.prefers(nb, p, "reference") == (0.5 * math.erfc(z / 3 / math.sqrt(2)) < 0.05)
+
+
+def test_bootstrap_and_coefficients():
+    t = np.arange(0, 96, 1.0)
+    y = series(t=t) + np.cos(2 * np.pi * (t - 3) / 12)
+    b = fits.bootstrap(t, y, harmonics=2, rounds=60)
+    assert b["mesor_lo"] < b["mesor"] < b["mesor_hi"] and b["amplitude_lo"] < b["amplitude"] < b["amplitude_hi"] and b["peak_hour_hi"] - b["peak_hour_lo"] < 1.5
+    night = fits.bootstrap(t, series(t=t, peak=0.02, noise=2.0), rounds=60)
+    assert night["peak_hour_hi"] - night["peak_hour_lo"] < 3
+    c = fits.harmonic_coefficients(t, y, harmonics=2)["coefficients"]
+    assert math.hypot(c[3], c[4]) == pytest.approx(1, abs=0.1)
+    with pytest.raises(ValueError, match="points"):
+        fits.harmonic_coefficients(t[:5], y[:5], harmonics=2)
+
+
 def test_filters():
     b, a = filters.butterworth(2, 0.3)
     assert b == pytest.approx([0.13110644, 0.26221288, 0.13110644]) and a == pytest.approx([1, -0.74778918, 0.27221494])

@@ -57,6 +57,60 @@ def test_robust_compare(long):
     assert r.success and r.d_hours == pytest.approx(6, abs=0.3) and r.d_amplitude_differs and r.p_difference < 1e-9
 
 
+@pytest.fixture(scope="module")
+def herds(spark):
+    """Two conditions of six subjects, of which the second peaks six hours later, with a covariate."""
+    rng = np.random.default_rng(1)
+    frames = []
+    for c, peak, amplitude in (("a", 3, 2.0), ("b", 9, 2.0), ("c", 3, 2.0)):
+        for k in range(6):
+            t = np.arange(0, 72, 2.0)
+            y = 10 + 2 * (k % 2) + rng.normal(0, 0.5) + amplitude * np.cos(2 * np.pi * (t - peak - rng.normal(0, 0.2)) / 24) + rng.normal(0, 0.3, len(t))
+            frames.append(pd.DataFrame({"variable": "v", "condition": c, "subject": f"{c}{k}", "time": t, "value": y, "batch": "xy"[k % 2]}))
+    return spark.createDataFrame(pd.concat(frames)).cache()
+
+
+def test_populations(herds):
+    got = {(r.condition_0, r.condition_1): r for r in api.compare(herds, "populations").collect()}
+    ab, ac = got["a", "b"], got["a", "c"]
+    assert ab.p_rhythm < 1e-4 and ab.d_peak_hour == pytest.approx(6, abs=0.5) and ac.p_rhythm > 0.01 and ac.p_mesor > 0.01 and (ab.n_0, ab.n_1) == (6, 6)
+    # Hotelling's test from the subjects' coefficients
+    fits = cosinor.cosinor(herds, [24.0], ["condition", "subject"]).toPandas()
+    x, y = (fits[fits.condition == c][["beta_cos", "beta_sin"]].to_numpy() for c in "ab")
+    s = (np.cov(x.T) * 5 + np.cov(y.T) * 5) / 10
+    f = 9 / 20 * 3 * (y.mean(0) - x.mean(0)) @ np.linalg.inv(s) @ (y.mean(0) - x.mean(0))
+    assert ab.p_rhythm == pytest.approx((1 + 2 * f / 9) ** -4.5, rel=1e-6)
+    mean = {r.condition: r for r in methods.population(herds, harmonics=2).collect()}
+    assert mean["a"].n_subjects == 6 and mean["a"].amplitude == pytest.approx(2, abs=0.3) and mean["b"].peak_hour == pytest.approx(9, abs=1)
+    one = {r.condition: r for r in methods.population(herds, harmonics=1).collect()}
+    old = {r.condition: r for r in cosinor.population(herds).collect()}
+    assert all(one[c].amplitude == pytest.approx(old[c].amplitude, rel=1e-3) and one[c].mesor_se == pytest.approx(old[c].mesor_se) for c in one)
+
+
+@pytest.mark.parametrize("how", ["damped", "damped_populations", "bootstrap"])
+def test_comparisons_of_nonlinear_and_resampled_fits(herds, how):
+    got = {(r.condition_0, r.condition_1): r for r in api.compare(herds, how).collect()}
+    name = "peak_hour" if how == "bootstrap" else "acrophase"
+    shift = 6 if how == "bootstrap" else -np.pi / 2  # a phase is minus the peak's angle in the damped model
+    assert got["a", "b"].success and got["a", "b"][f"d_{name}"] == pytest.approx(shift, abs=0.4) and got["a", "b"][f"p_{name}"] < 1e-4 < got["a", "c"][f"p_{name}"]
+    with pytest.raises(ValueError, match="unknown comparison"):
+        api.compare(herds, "nothing")
+
+
+def test_mixed_with_covariates(herds):
+    got = {r.condition: r for r in api.analyze(herds, "mixed", covariates=["batch"]).collect()}
+    assert got["a"].success and got["a"].covariates[0] == pytest.approx(2, abs=0.8) and got["a"].p_value < 1e-9
+    plain = {r.condition: r for r in api.analyze(herds, "mixed", reml=False).collect()}
+    assert plain["a"].group_variance > got["a"].group_variance and plain["a"].covariates == []
+
+
+def test_specs():
+    from tidewheel.plans import specs
+
+    assert [specs.periods(x) for x in ("24", "24, 12,48", "23-25", "25-23", "x", None, "-3", "0")] == [[24], [24, 12, 48], [23, 24, 25], [24], [24], [24], [24], [24]]
+    assert [specs.harmonics(x) for x in ("1", "1, 2,3", "0", "7", "a", "")] == [[1], [1, 2, 3], [1], [1], [1], [1]]
+
+
 def test_cleaning(spark):
     rows = [("v", "a", None, float(i), 100.0 if i == 5 else None if i == 7 else float(i % 3)) for i in range(20)]
     df = spark.createDataFrame(rows, "variable string, condition string, subject string, time double, value double")

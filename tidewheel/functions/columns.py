@@ -74,6 +74,10 @@ def t_tail(t: Column, df: Column) -> Column:
     return _on_floats(stats.t_two_sided)(t, df)
 
 
+def normal_two_sided(z: Column) -> Column:
+    return _on_floats(lambda v: 2 * stats.normal_tail(abs(v)))(z)
+
+
 def chi2_tail(x: Column, df: Column) -> Column:
     return _on_floats(stats.chi2_tail)(x, df.cast("double"))
 

@@ -168,29 +168,44 @@ def damped(t: np.ndarray, y: np.ndarray, period: float = 24.0, rounds: int = 200
     base = least_squares(np.column_stack([np.ones(n), t]), y)[2]
     p = stats.f_tail(((base - rss) / 4) / (rss / (n - 6)), 4, n - 6) if n > 6 and rss > 0 else math.nan
     sign = -1 if theta[1] < 0 else 1
-    return {"mesor": theta[0], "amplitude": abs(theta[1]), "damping": theta[2], "period": theta[3], "acrophase": (theta[4] + (np.pi if sign < 0 else 0)) % TAU, "slope": theta[5], "r2": r2, "p_value": p}
+    se = _errors(jac, y - f, n - 6) if n > 6 else np.full(6, math.nan)
+    errors = dict(zip(("mesor_se", "amplitude_se", "damping_se", "period_se", "acrophase_se", "slope_se"), map(float, se), strict=True))
+    return errors | {"mesor": theta[0], "amplitude": abs(theta[1]), "damping": theta[2], "period": theta[3], "acrophase": (theta[4] + (np.pi if sign < 0 else 0)) % TAU, "slope": theta[5], "r2": r2, "p_value": p}
 
 
-def mixed(t: np.ndarray, y: np.ndarray, group: np.ndarray, period: float = 24.0, covariates: np.ndarray | None = None) -> dict:
+def dummies(column: np.ndarray) -> np.ndarray:
+    """A column of numbers as it is; of anything else an indicator for each level but the first in order."""
+    try:
+        return column.astype(float)[:, None]
+    except (TypeError, ValueError):
+        levels = sorted({str(v) for v in column})
+        return np.column_stack([np.zeros((len(column), 0)), *((np.array([str(v) for v in column]) == x).astype(float) for x in levels[1:])])
+
+
+def mixed(t: np.ndarray, y: np.ndarray, group: np.ndarray, period: float = 24.0, covariates: np.ndarray | None = None, reml: bool = True) -> dict:
     """y ~ cosine + sine (+ covariates) + (1 | group): profile likelihood over the ratio of variances.
 
-    The test of rhythm compares maximum likelihoods with and without the cosine terms: p = exp(-LR / 2) on two degrees of freedom."""
+    The test of rhythm compares the likelihoods with and without the cosine terms: p = exp(-LR / 2) on two degrees of freedom. With reml these are restricted
+    likelihoods, which are made for one design and not for the comparison of two; reml=False takes maximum likelihoods, for which the test holds."""
     _, at = np.unique(group, return_inverse=True)
     size = np.bincount(at)
     full = design(t, period)
     if covariates is not None:
         full = np.column_stack([full, covariates])
     null = np.delete(full, [1, 2], axis=1)
+    n = len(y)
 
     def fit(x: np.ndarray) -> tuple[float, np.ndarray, float, float]:
+        dof = n - np.linalg.matrix_rank(x) if reml else n
+
         def at_ratio(log_ratio: float) -> tuple[float, np.ndarray, float]:
             r = math.exp(log_ratio)
             shrink = 1 - 1 / np.sqrt(1 + r * size)
             centre = lambda v: v - (shrink[:, None] * np.array([np.bincount(at, c, len(size)) for c in v.T]).T / size[:, None])[at]
             xs, ys = centre(x), centre(y[:, None])[:, 0]
             beta, _, rss = least_squares(xs, ys)
-            n = len(y)
-            return -0.5 * (n * math.log(TAU * rss / n) + n + np.log(1 + r * size).sum()), beta, rss / n
+            ll = -0.5 * (dof * math.log(TAU * rss / dof) + dof + np.log(1 + r * size).sum())
+            return ll - (0.5 * float(np.log(np.maximum(np.linalg.svd(xs, compute_uv=False), 1e-12)).sum() * 2) if reml else 0.0), beta, rss / dof
 
         lo, hi, g = -12.0, 8.0, (math.sqrt(5) - 1) / 2
         for _ in range(60):
@@ -204,7 +219,10 @@ def mixed(t: np.ndarray, y: np.ndarray, group: np.ndarray, period: float = 24.0,
     lr = max(0.0, 2 * (ll1 - ll0))
     a, phi = polar(beta[1], beta[2])
     k = full.shape[1] + 2
-    return {"mesor": float(beta[0]), "amplitude": a, "acrophase": phi, "peak_hour": phi * period / TAU, "group_variance": var * ratio, "residual_variance": var, "lr": lr, "p_value": math.exp(-lr / 2), "aic": 2 * k - 2 * ll1, "bic": k * math.log(len(y)) - 2 * ll1}
+    return {
+        "mesor": float(beta[0]), "amplitude": a, "acrophase": phi, "peak_hour": phi * period / TAU, "group_variance": var * ratio, "residual_variance": var, "lr": lr, "p_value": math.exp(-lr / 2),
+        "aic": 2 * k - 2 * ll1, "bic": k * math.log(n) - 2 * ll1, "covariates": [float(v) for v in beta[3:]],
+    }
 
 
 def _gamma(x: np.ndarray) -> np.ndarray:
@@ -279,7 +297,7 @@ def count_model(t: np.ndarray, y: np.ndarray, kind: str = "poisson", components:
     return {
         "model": kind, "components": components, "loglik": ll, "aic": 2 * p - 2 * ll, "bic": p * math.log(n) - 2 * ll, "rss": float(((y - fitted) ** 2).sum()), "n": n, "n_parameters": p,
         "llr_p": stats.chi2_tail(2 * (ll - base), p - 1) if ll > base else 1.0, "mcfadden_r2": 1 - ll / base if base else math.nan,
-        "amplitude": float(np.ptp(curve) / 2), "mesor": float(curve.min() + np.ptp(curve) / 2), "peaks": [float(grid[i]) for i in tops], "dispersion": alpha, "each": each,
+        "amplitude": float(np.ptp(curve) / 2), "mesor": float(curve.min() + np.ptp(curve) / 2), "peaks": [float(grid[i]) for i in tops], "heights": [float(curve[i]) for i in tops], "dispersion": alpha, "each": each,
     }
 
 
@@ -290,7 +308,30 @@ def vuong(a: dict, b: dict) -> float:
     return float(math.sqrt(len(d)) * d.mean() / sd) if sd > 0 else 0.0
 
 
-def best_count_model(t: np.ndarray, y: np.ndarray, kinds: Sequence[str] = MODELS, components: Sequence[int] = (1, 2), period: float = 24.0, by: str = "aic") -> dict:
+def prefers(new: dict, old: dict, semantics: str = "corrected") -> bool:
+    """Whether Vuong's test takes new instead of old at the level 0.05.
+
+    "corrected" is the one-sided test of the standardised difference. "reference" takes half the difference of the numbers of cosine parameters times log10(n) off
+    the likelihood ratio, divides by the root of the sum of squared differences, and compares with a normal distribution whose mean is that difference and whose standard deviation is the old number."""
+    if semantics == "corrected":
+        return vuong(new, old) > 1.645
+    if semantics != "reference":
+        raise ValueError(f"semantics is corrected or reference, not {semantics}")
+    df = 2 * old["components"] + 1
+    more = 2 * new["components"] + 1 - df
+    square = float(((new["each"] - old["each"]) ** 2).sum())
+    if square <= 0:
+        return False
+    z = (new["loglik"] - old["loglik"] - more / 2 * math.log10(new["n"])) / math.sqrt(square)
+    return stats.normal_tail((z - more) / df) < 0.05
+
+
+def count_models(t: np.ndarray, y: np.ndarray, kinds: Sequence[str] = MODELS, components: Sequence[int] = (1, 2), period: float = 24.0) -> list[dict]:
+    """Every distribution with every number of components."""
+    return [count_model(t, y, kind, c, period) for kind in sorted(kinds) for c in sorted(components)]
+
+
+def best_count_model(t: np.ndarray, y: np.ndarray, kinds: Sequence[str] = MODELS, components: Sequence[int] = (1, 2), period: float = 24.0, by: str = "aic", semantics: str = "corrected") -> dict:
     """For each distribution the number of components that an F test on the residual sums asks for; of these the best by aic, bic or vuong, in alphabetical order."""
     winners = []
     for kind in sorted(kinds):
@@ -306,21 +347,71 @@ def best_count_model(t: np.ndarray, y: np.ndarray, kinds: Sequence[str] = MODELS
         winners.append(best)
     out = winners[0]
     for new in winners[1:]:
-        if (vuong(new, out) > 1.645) if by == "vuong" else new[by] < out[by]:
+        if prefers(new, out, semantics) if by == "vuong" else new[by] < out[by]:
             out = new
     return out
 
 
-def resampled_intervals(t: np.ndarray, y: np.ndarray, kind: str, components: int, period: float = 24.0, rounds: int = 20, seed: int = 0) -> dict:
-    """Means and 1.96 standard deviations of amplitude, mesor and first peak over fits of two thirds of the points."""
+def resampled_intervals(t: np.ndarray, y: np.ndarray, best: dict, period: float = 24.0, rounds: int = 20, tolerance: float = 2.0, seed: int = 0) -> dict:
+    """1.96 standard deviations around the means of amplitude, mesor, and the time and height of each of best's peaks over fits of two thirds of the points.
+
+    A peak of a resample belongs to one of best's within tolerance hours around the cycle; peaks that no resample has get NaN."""
+    rng = np.random.default_rng(seed)
+    fits = []
+    for _ in range(rounds):
+        i = rng.choice(len(y), max(4, len(y) - len(y) // 3), replace=False)
+        fits.append(count_model(t[i], y[i], best["model"], best["components"], period))
+
+    def interval(v: Sequence[float]) -> tuple[float, float]:
+        return (float(np.mean(v) - 1.96 * np.std(v)), float(np.mean(v) + 1.96 * np.std(v))) if len(v) else (math.nan, math.nan)
+
+    out = {}
+    for name in ("amplitude", "mesor"):
+        out[f"{name}_lo"], out[f"{name}_hi"] = interval([f[name] for f in fits])
+    times, heights, matched = [], [], []
+    for peak in best["peaks"]:
+        near = [(p + period * round((peak - p) / period), h) for f in fits for p, h in zip(f["peaks"], f["heights"], strict=True)]
+        near = [(p, h) for p, h in near if abs(p - peak) <= tolerance]
+        times.append(interval([p for p, _ in near]))
+        heights.append(interval([h for _, h in near]))
+        matched.append(len(near))
+    return out | {"peaks_lo": [x[0] for x in times], "peaks_hi": [x[1] for x in times], "heights_lo": [x[0] for x in heights], "heights_hi": [x[1] for x in heights], "peaks_matched": matched}
+
+
+def harmonic_coefficients(t: np.ndarray, y: np.ndarray, period: float = 24.0, harmonics: int = 1) -> dict:
+    """The least-squares coefficients: mesor, then cosine and sine of each harmonic."""
+    if len(y) < 2 * harmonics + 2:
+        raise ValueError(f"{2 * harmonics + 2} points are needed")
+    beta, _, rss = least_squares(design(t, period, harmonics), y)
+    return {"coefficients": [float(v) for v in beta], "rss": rss}
+
+
+def bootstrap(t: np.ndarray, y: np.ndarray, period: float = 24.0, harmonics: int = 1, rounds: int = 200, seed: int = 0) -> dict:
+    """Cosinor with percentile intervals over resampled points: amplitude (half the curve's range), mesor and the peak's hour, the last around its mean direction."""
     rng = np.random.default_rng(seed)
+    x = design(t, period, harmonics)
+    grid = np.linspace(0, period, 480, endpoint=False)
+    gx = design(grid, period, harmonics)
+
+    def of(beta: np.ndarray) -> tuple[float, float, float]:
+        curve = gx @ beta
+        return float(beta[0]), float(np.ptp(curve) / 2), float(grid[int(curve.argmax())])
+
+    m, a, peak = of(least_squares(x, y)[0])
     rows = []
     for _ in range(rounds):
-        i = rng.choice(len(y), max(4, 2 * len(y) // 3), replace=False)
-        f = count_model(t[i], y[i], kind, components, period)
-        rows.append((f["amplitude"], f["mesor"]))
-    m, s = np.mean(rows, 0), np.std(rows, 0)
-    return {"amplitude_lo": m[0] - 1.96 * s[0], "amplitude_hi": m[0] + 1.96 * s[0], "mesor_lo": m[1] - 1.96 * s[1], "mesor_hi": m[1] + 1.96 * s[1]}
+        i = rng.integers(0, len(y), len(y))
+        if np.linalg.matrix_rank(x[i]) == x.shape[1]:
+            rows.append(of(least_squares(x[i], y[i])[0]))
+    if len(rows) < rounds // 2:
+        raise ValueError("too few resamples tell the harmonics apart")
+    v = np.array(rows)
+    v[:, 2] = (v[:, 2] - peak + period / 2) % period - period / 2 + peak
+    lo, hi = np.percentile(v, [2.5, 97.5], axis=0)
+    out = {}
+    for k, (name, value) in enumerate((("mesor", m), ("amplitude", a), ("peak_hour", peak))):
+        out |= {name: value, f"{name}_lo": float(lo[k]), f"{name}_hi": float(hi[k]), f"{name}_se": float(v[:, k].std())}
+    return out
 
 
 def components(t: np.ndarray, y: np.ndarray, periods: Sequence[float], most: int = 3, alpha: float = 0.05) -> dict:

@@ -39,10 +39,35 @@ def fourier_score(t: np.ndarray, y: np.ndarray, period: float = 24.0, permutatio
     return {"score": seen / (float(null.mean()) + 1e-10), "power": seen, "period": float(1 / f[k]), "p_value": float((1 + (null >= seen).sum()) / (permutations + 1))}
 
 
-def paired_fourier_score(t: np.ndarray, a: np.ndarray, b: np.ndarray, period: float = 24.0, **how) -> dict[str, float]:
-    """Two replicates: the mean of their scores."""
-    x, y = fourier_score(t, a, period, **how), fourier_score(t, b, period, **how)
-    return {k: (x[k] + y[k]) / 2 for k in x}
+def paired_fourier_score(t: np.ndarray, a: np.ndarray, b: np.ndarray, period: float = 24.0, permutations: int = 1000, seed: int = 42) -> dict[str, float]:
+    """Two replicates at the same times: the mean of their power spectra at the frequency nearest to the period's, over its mean when both are permuted.
+
+    agreement is the sign with which real and imaginary parts of the two coefficients go together: a correlation of two points is 1 or -1."""
+    n, dt = len(a), float(np.median(np.diff(t)))
+    f = np.fft.fftfreq(n, dt)[: n // 2]
+    k = int(np.argmin(np.abs(f - 1 / period)))
+    at = lambda x: np.fft.fft(x - x.mean(-1, keepdims=True), axis=-1)
+    power = lambda x: np.abs(at(x)[..., : n // 2]) ** 2 / n
+    mean = (power(a) + power(b)) / 2
+    rng = np.random.default_rng(seed)
+    null = np.array([(power(rng.permutation(a))[k] + power(rng.permutation(b))[k]) / 2 for _ in range(permutations)])
+    x, y = at(a)[k], at(b)[k]
+    return {
+        "score": float(mean[k] / (null.mean() + 1e-10)), "power": float(mean[k]), "period": float(1 / f[k]) if f[k] > 0 else float("nan"), "p_value": float((1 + (null >= mean[k]).sum()) / (permutations + 1)),
+        "dominant_period": float(1 / f[1 + int(mean[1:].argmax())]) if n >= 4 else float("nan"), "agreement": float(np.sign((x.real - x.imag) * (y.real - y.imag))),
+    }
+
+
+def first_two(t: np.ndarray, y: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The times that the first two replicates (by name) share, evenly spaced, and their values."""
+    names = sorted(set(who.tolist()))[:2]
+    if len(names) < 2:
+        raise ValueError("two replicates are needed")
+    (ta, a), (tb, b) = (averaged(t[who == k], y[who == k]) for k in names)
+    both, i, j = np.intersect1d(ta, tb, return_indices=True)
+    if len(both) < 4 or not uniform(both):
+        raise ValueError("replicates share fewer than 4 times, or uneven ones")
+    return both, a[i], b[j]
 
 
 def power_at(t: np.ndarray, y: np.ndarray, periods: np.ndarray) -> np.ndarray:

@@ -85,6 +85,37 @@ def population(long: DataFrame, period: float = 24.0) -> DataFrame:
     return mean.select(*SERIES, "n_subjects", "mesor", "mesor_se", F.sqrt(F.col("_b") * F.col("_b") + F.col("_g") * F.col("_g")).alias("amplitude"), hours(phase, period).alias("peak_hour"))
 
 
+def compare_populations(long: DataFrame, pairs: DataFrame, period: float = 24.0) -> DataFrame:
+    """Two populations of subjects, for every pair of conditions of a variable: each subject is fitted, and their coefficients are compared.
+
+    p_mesor: pooled t test; p_rhythm: Hotelling's test of the cosine's and sine's mean coefficients, whose F tail on two degrees of freedom is closed. It takes
+    two subjects of either population and three more than the coefficients in all; with fewer the tests are null."""
+    keys = ["variable", "condition"]
+    fits = cosinor(long, [period], [*keys, "subject"]).filter("success")
+    m = fits.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("mesor").alias("m"), F.avg("beta_cos").alias("b"), F.avg("beta_sin").alias("g"),
+        *((F.covar_samp(x, y) * (F.count("*") - 1)).alias(f"s{i}{j}") for i, x in enumerate(("mesor", "beta_cos", "beta_sin")) for j, y in enumerate(("mesor", "beta_cos", "beta_sin")) if i <= j),
+    )
+    side = lambda i: m.select("variable", F.col("condition").alias(f"condition_{i}"), F.struct(*(c for c in m.columns if c not in keys)).alias(f"p{i}"))
+    a, z = (lambda c: F.col(f"p0.{c}")), (lambda c: F.col(f"p1.{c}"))
+    dof = a("n") + z("n") - 2
+    cov = lambda c: F.when((a("n") > 1) & (z("n") > 1), (F.coalesce(a(c), F.lit(0.0)) + F.coalesce(z(c), F.lit(0.0))) / dof)
+    scale = a("n") * z("n") / (a("n") + z("n"))
+    d_m, d_b, d_g = (z(c) - a(c) for c in ("m", "b", "g"))
+    det = cov("s11") * cov("s22") - cov("s12") * cov("s12")
+    t2 = scale * (d_b * d_b * cov("s22") + d_g * d_g * cov("s11") - 2 * d_b * d_g * cov("s12")) / F.nullif(det, F.lit(0.0))
+    f = (dof - 1) / (2 * dof) * t2
+    amplitude = lambda s: F.sqrt(s("b") * s("b") + s("g") * s("g"))
+    hour = lambda s: hours(wrapped(F.atan2(s("g"), s("b"))), period)
+    half = period / 2
+    return pairs.join(side(0), "condition_0").join(side(1), ["variable", "condition_1"]).select(
+        "variable", "condition_0", "condition_1", a("n").alias("n_0"), z("n").alias("n_1"), d_m.alias("d_mesor"), (amplitude(z) - amplitude(a)).alias("d_amplitude"),
+        (F.pmod(hour(z) - hour(a) + half, F.lit(float(period))) - half).alias("d_peak_hour"),
+        t_tail(F.abs(d_m) * F.sqrt(scale / F.nullif(cov("s00"), F.lit(0.0))), dof.cast("double")).alias("p_mesor"),
+        F.when(dof > 1, F.pow(1 + 2 * f / (dof - 1), -(dof - 1) / 2)).alias("p_rhythm"),
+    )
+
+
 def pair_differences(fits: DataFrame, pairs: DataFrame) -> DataFrame:
     """Differences of two conditions' fits of one variable; the phase difference lies within half a period. Each condition is fitted once."""
     side = lambda i: fits.select("variable", "period", F.col("condition").alias(f"condition_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in ("mesor", "amplitude", "peak_hour")))

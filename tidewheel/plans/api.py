@@ -40,11 +40,15 @@ def analyze(long: DataFrame, method: str, keys: list[str] = SERIES, steps: prep.
 
 
 def compare(long: DataFrame, how: str = "robust", period: float = 24.0, **more) -> DataFrame:
-    """All pairs of conditions: 'robust' fits both groups, 'least_squares' fits each condition once and joins the fits."""
+    """All pairs of conditions. 'robust' fits both groups and tests the pooled regression, 'least_squares' joins fits, 'bootstrap' and 'damped' test differences of
+    such fits, 'populations' and 'damped_populations' compare the means over subjects."""
     pairs = aggregate.condition_pairs(long)
     if how == "least_squares":
         return cosinor.pair_differences(cosinor.cosinor(long, [period]), pairs)
-    return methods.compare(long, pairs, period, **more)
+    ways = {"robust": methods.compare, "bootstrap": methods.compare_bootstrap, "damped": methods.compare_damped, "populations": cosinor.compare_populations, "damped_populations": methods.compare_populations}
+    if how not in ways:
+        raise ValueError(f"unknown comparison {how}; known: {', '.join(sorted([*ways, 'least_squares']))}")
+    return ways[how](long, pairs, period, **more)
 
 
 def activity_profile(rows: DataFrame, periods: Sequence[float] = tuple(cosinor.grid(18, 32, 0.1)), bin_hours: float = 0.5) -> dict[str, DataFrame]:

@@ -560,29 +560,173 @@ def _method(name: str, method: str, source=daily_shape, **how) -> None:  # noqa:
     query()(run)
 
 
-for _name in ("jtk", "jtk_sweep", "asymmetric_jtk", "ar_jtk", "cosine_kendall", "harmonic_cosinor", "components", "fourier_score", "spectral", "wavelet", "damped"):
+def fortnight(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of every fourth hour over fourteen days."""
+    return agg.mean_series(raw(spark, sf).filter("time < 336").withColumn("time", F.floor(F.col("time") / 4) * 4.0))
+
+
+def ranks_sql(periods: list[float], peaks: list[float], kind: str, each: str = "condition") -> str:
+    """The best template by the normal p of Kendall's concordance with corrections for ties; erfc is 1 minus erf's series of positive terms."""
+    x = "((t - lag) - period * floor((t - lag) / period)) / period"
+    shape = f"CASE WHEN {x} < peak THEN {x} / peak ELSE (1 - {x}) / (1 - peak) END" if kind == "triangle" else "cos(2 * pi() * (t - lag) / period)"
+    top = "lag + peak * period" if kind == "triangle" else "lag"
+    erf = "CASE WHEN x > 0 THEN list_sum([exp(-x * x + (2 * j + 1) * ln(x) - lgamma(j + 1.5)) FOR j IN range(0, 150)]) ELSE 0 END"
+    tie = lambda c: ", ".join(f"sum({e})::DOUBLE AS {c}{i}" for i, e in ((2, "k * (k - 1)"), (3, "k * (k - 1) * (k - 2)"), (5, "k * (k - 1) * (2 * k + 5)")))
+    return f"""y AS (SELECT condition, floor(time / 4) * 4.0 AS t, avg(value) AS y FROM s WHERE time < 336 GROUP BY ALL),
+te AS (SELECT *, row_number() OVER (ORDER BY period, peak, lag) AS idx FROM (SELECT period, peak, unnest(range(0, ceil(period)::BIGINT))::DOUBLE AS lag FROM (SELECT unnest({periods!r})::DOUBLE AS period), (SELECT unnest({peaks!r})::DOUBLE AS peak))),
+v AS (SELECT idx, t, round({shape}, 9) AS v FROM te, (SELECT DISTINCT t FROM y)),
+p AS (SELECT ya.condition, va.idx, sum(sign(yb.y - ya.y) * sign(vb.v - va.v))::DOUBLE AS sm, count(*)::DOUBLE AS np, sum((vb.v <> va.v)::INT)::DOUBLE AS up, sum((yb.y <> ya.y)::INT)::DOUBLE AS uy
+      FROM y ya JOIN y yb ON ya.condition = yb.condition AND ya.t < yb.t JOIN v va ON va.t = ya.t JOIN v vb ON vb.t = yb.t AND vb.idx = va.idx GROUP BY ALL),
+vt AS (SELECT condition, idx, {tie("a")} FROM (SELECT condition, idx, v, count(*) AS k FROM y JOIN v USING (t) GROUP BY ALL) GROUP BY ALL),
+yt AS (SELECT condition, sum(k)::DOUBLE AS n, {tie("b")} FROM (SELECT condition, y, count(*) AS k FROM y GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT p.*, n, sm / sqrt(greatest(up * uy, 1e-12)) AS tau, abs(sm) / sqrt((n * (n - 1) * (2 * n + 5) - a5 - b5) / 18 + a2 * b2 / (2 * n * (n - 1)) + a3 * b3 / (9 * n * (n - 1) * (n - 2))) AS z FROM p JOIN vt USING (condition, idx) JOIN yt USING (condition)),
+e AS (SELECT *, z / sqrt(2) AS x, count(*) OVER (PARTITION BY condition)::DOUBLE AS m, row_number() OVER (PARTITION BY condition ORDER BY z DESC, idx) AS rk FROM z JOIN te USING (idx)),
+q AS (SELECT *, greatest(1 - ({erf}), 0) AS pv FROM e),
+u AS (SELECT *, least(min(pv * m / rk) OVER (PARTITION BY condition ORDER BY rk DESC), 1) AS bh, row_number() OVER (PARTITION BY {each} ORDER BY rk) AS best FROM q),
+am AS (SELECT condition, (quantile_cont(y, 0.9) - quantile_cont(y, 0.1)) / 2 AS amplitude FROM y GROUP BY 1),
+w AS (SELECT *, {top} + CASE WHEN tau < 0 THEN period / 2 ELSE 0 END AS tp FROM u JOIN am USING (condition) WHERE best = 1)
+SELECT condition, n::BIGINT AS n, period, lag, {"peak" if kind == "triangle" else "0.5::DOUBLE AS peak"}, {r("tau", "tau")}, {r("tp - period * floor(tp / period)", "acrophase")}, {r("amplitude", "amplitude")}, {r("pv", "p_value")}, {r("least(pv * m, 1)", "p_bonferroni")}, {r("bh", "p_bh")}, m AS n_tests FROM w"""
+
+
+def _ranked(name: str, sql: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(methods.detect(fortnight(spark, sf), name).select("condition", "n", "period", "lag", "peak", "tau", "acrophase", "amplitude", "p_value", "p_bonferroni", "p_bh", "n_tests"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_WHOLE_HOURS, _HALF_HOURS = [float(p) for p in range(20, 29)], [float(p) for p in cos.grid(20, 28, 0.5)]
+_ranked("jtk", ranks_sql(_WHOLE_HOURS, [0.5], "triangle"))
+_ranked("jtk_sweep", ranks_sql(_WHOLE_HOURS, [0.5], "triangle", "condition, period"))
+_ranked("asymmetric_jtk", ranks_sql(_WHOLE_HOURS, [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8], "triangle"))
+_ranked("cosine_kendall", ranks_sql(_HALF_HOURS, [0.5], "cosine"))
+
+
+def projected(columns: list[str], source: str, keys: str, keep: str) -> str:
+    """CTEs g0, g1, ..: columns and value centred in each group, then each column without the parts along those before it, and the value's residual and share explained."""
+    w = f"WINDOW w AS (PARTITION BY {keys})"
+    out = [f"g0 AS (SELECT {keys}, {keep}, count(*) OVER w AS n, value - avg(value) OVER w AS y0, {', '.join(f'{c} - avg({c}) OVER w AS {c}' for c in columns)} FROM {source} {w})"]
+    for i, c in enumerate(columns, 1):
+        rest = "".join(f", {d} - {c} * sum({d} * {c}) OVER w / nullif(sum({c} * {c}) OVER w, 0) AS {d}" for d in columns[i:])
+        before = "".join(f", y{k}" for k in range(i))
+        out.append(f"g{i} AS (SELECT {keys}, {keep}, n{before}, y{i - 1} - {c} * sum(y{i - 1} * {c}) OVER w / nullif(sum({c} * {c}) OVER w, 0) AS y{i}{rest} FROM g{i - 1} {w})")
+    return ",\n".join(out)
+
+
+@query(
+    f"""y AS (SELECT condition, floor(time / 4) * 4.0 AS time, avg(value) AS value FROM s WHERE time < 336 GROUP BY ALL),
+xs AS (SELECT y.*, period, cos(2 * pi() * time / period) AS c1, sin(2 * pi() * time / period) AS s1, cos(4 * pi() * time / period) AS c2, sin(4 * pi() * time / period) AS s2 FROM y, (SELECT unnest({_HALF_HOURS!r})::DOUBLE AS period)),
+{projected(["c1", "s1", "c2", "s2"], "xs", "condition, period", "time")},
+f AS (SELECT condition, period, max(n) AS n, sum(y4 * y4) AS rss, sum(y2 * y2) AS base, sum(y0 * y0) AS total FROM g4 GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY rss, period) AS i, 1 - rss / total AS r2 FROM f)
+SELECT condition, n::BIGINT AS n, period, {r("r2", "r2")}, {r("pow(1 - r2, (n - 5) / 2.0) * (1 + (n - 5) / 2.0 * r2)", "p_value")}, {r("pow(rss / base, (n - 5) / 2.0)", "p_extra")} FROM o WHERE i = 1"""
+)
+def harmonic_cosinor(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(methods.detect(fortnight(spark, sf), "harmonic_cosinor").select("condition", "n", "period", "r2", "p_value", "p_extra"))
+
+
+@query(
+    """y AS (SELECT condition, floor(time / 4) * 4.0 AS t, avg(value) AS y FROM s WHERE time < 336 GROUP BY ALL),
+c AS (SELECT condition, t - lag(t) OVER w AS d, y - avg(y) OVER (PARTITION BY condition) AS y, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY condition) AS n FROM y WINDOW w AS (PARTITION BY condition ORDER BY t)),
+dt AS (SELECT condition, median(d) AS dt FROM c GROUP BY 1),
+k AS (SELECT condition, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT condition, n FROM c)),
+ft AS (SELECT c.condition, k.k, c.n, sum(y * cos(2 * pi() * k.k * j / c.n)) AS re, sum(y * sin(2 * pi() * k.k * j / c.n)) AS im FROM c JOIN k ON k.condition = c.condition GROUP BY ALL),
+po AS (SELECT ft.condition, n * dt / k AS period, n, (re * re + im * im) * dt / n * CASE WHEN 2 * k = n THEN 1 ELSE 2 END AS power FROM ft JOIN dt USING (condition)),
+li AS (SELECT *, (1 - pow(0.05 / n, 1.0 / greatest(n - 1, 1))) * sum(power) OVER (PARTITION BY condition) AS line, row_number() OVER (PARTITION BY condition ORDER BY power DESC, period DESC) AS i FROM po)
+SELECT condition, n::BIGINT AS n, round(period, 4) + 0.0 AS period, round(power, 4) + 0.0 AS power, round(line, 4) + 0.0 AS threshold, power >= line AS significant FROM li WHERE i = 1"""
+)
+def spectral(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(methods.detect(fortnight(spark, sf), "spectral").select("condition", "n", "period", "power", "threshold", "significant"))
+
+
+for _name in ("ar_jtk", "components", "fourier_score", "wavelet", "damped", "bootstrap"):
     _method(_name, _name)
+_method("paired_fourier_score", "paired_fourier_score", lambda spark, sf: raw(spark, sf).filter("time < 144").groupBy(*SERIES, "subject", (F.floor(F.col("time") / 12) * 12.0).alias("time")).agg(F.avg("value").alias("value")), permutations=200)
 _method("robust_single", "robust")
+
+
+@query(
+    f"{ERRORS.replace('[24.0, 12.0]', '[24.0]')} SELECT condition, {r('mesor', 'mesor')}, {r('amplitude', 'amplitude')}, {r('phase', 'acrophase')}, {r('mesor_se * sqrt(df / (df + 1.0))', 'mesor_se')}, {r('amplitude_se * sqrt(df / (df + 1.0))', 'amplitude_se')}, {r('acrophase_se * sqrt(df / (df + 1.0))', 'acrophase_se')} FROM er"
+)
+def robust_linear(spark, sf):  # noqa: ANN001, ANN201
+    return rounded(methods.detect(hourly(spark, sf), "robust", loss="linear").select("condition", "mesor", "amplitude", "acrophase", "mesor_se", "amplitude_se", "acrophase_se"))
+
+
+@query(
+    f"""{fits_sql([24.0], 'hs', 'condition, subject')},
+po AS (SELECT condition, count(*)::DOUBLE AS n, avg(mesor) AS m, avg(b) AS b, avg(g) AS g, sum(pow(b, 2)) - count(*) * pow(avg(b), 2) AS bb, sum(pow(g, 2)) - count(*) * pow(avg(g), 2) AS gg, sum(b * g) - count(*) * avg(b) * avg(g) AS bg FROM fits WHERE b IS NOT NULL GROUP BY 1),
+x AS (SELECT condition, min(time) AS t FROM hs GROUP BY 1), o AS (SELECT condition, row_number() OVER (ORDER BY t, condition) AS i FROM x),
+dd AS (SELECT p.condition AS condition_0, q.condition AS condition_1, u.n + v.n - 2 AS df, u.n * v.n / (u.n + v.n) AS sc, u.n AS n_0, v.n AS n_1, v.m - u.m AS dm, v.b - u.b AS db, v.g - u.g AS dg, u.bb + v.bb AS bb, u.gg + v.gg AS gg, u.bg + v.bg AS bg
+      FROM o p JOIN o q ON p.i < q.i JOIN po u ON u.condition = p.condition JOIN po v ON v.condition = q.condition)
+SELECT condition_0, condition_1, n_0::BIGINT AS n_0, n_1::BIGINT AS n_1, {r('dm', 'd_mesor')}, {r('pow(1 + 2 * ((df - 1) / (2 * df) * sc * df * (db * db * gg + dg * dg * bb - 2 * db * dg * bg) / (bb * gg - bg * bg)) / (df - 1), -(df - 1) / 2)', 'p_rhythm')} FROM dd"""
+)
+def compare_populations(spark, sf):  # noqa: ANN001, ANN201
+    long = hourly(spark, sf, [*SERIES, "subject"])
+    return rounded(cos.compare_populations(long, agg.condition_pairs(long)).select("condition_0", "condition_1", "n_0", "n_1", "d_mesor", "p_rhythm"))
+
+
 _method("mixed_model", "mixed", lambda spark, sf: hourly(spark, sf, [*SERIES, "subject"]))
 _counts = lambda spark, sf: raw(spark, sf).filter("time < 336").groupBy(*SERIES, F.floor("time").cast("double").alias("time")).agg(F.count("*").cast("double").alias("value"))
 _method("count_poisson", "count", _counts)
 _method("count_best", "best_count", _counts, kinds=("poisson", "nb"), components=(1, 2))
 
 
+_method("count_models", "count_models", _counts, kinds=("poisson",), components=(1, 2))
+_method("count_intervals", "count_intervals", _counts, kinds=("poisson",), components=(1,), rounds=5)
+_method("mixed_with_covariates", "mixed", lambda spark, sf: hourly(spark, sf, [*SERIES, "subject"]).withColumn("half", F.when(F.col("time") < 360, "first").otherwise("second")), covariates=["half"])
+
+
+def _comparison(name: str, compare, source=daily_shape) -> None:  # noqa: ANN001
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        long = source(spark, sf)
+        return compare(long, agg.condition_pairs(long))
+
+    run.__name__ = name
+    query()(run)
+
+
+_comparison("compare_bootstrap", methods.compare_bootstrap)
+_comparison("compare_damped", methods.compare_damped)
+_comparison("compare_damped_populations", methods.compare_populations, lambda spark, sf: hourly(spark, sf, [*SERIES, "subject"]))
+
+
+@query()
+def population_harmonics(spark, sf):  # noqa: ANN001, ANN201
+    return methods.population(hourly(spark, sf, [*SERIES, "subject"]), harmonics=2)
+
+
 @query()
 def robust_compare(spark, sf):  # noqa: ANN001, ANN201
     long = daily_shape(spark, sf)
     return methods.compare(long, agg.condition_pairs(long))
 
 
-@query()
+@query(
+    f"""xs AS (SELECT condition, time, value, (time - avg(time) OVER w) / (max(time) OVER w - min(time) OVER w) AS x1 FROM h WINDOW w AS (PARTITION BY condition)),
+x3 AS (SELECT *, x1 * x1 AS x2, x1 * x1 * x1 AS x3 FROM xs), {projected(["x1", "x2", "x3"], "x3", "condition", "time")}
+SELECT 'value' AS variable, condition, time, {r("y3", "value")} FROM g3"""
+)
 def detrend_polynomial(spark, sf):  # noqa: ANN001, ANN201
-    return prep.clean(hourly(spark, sf), prep.Steps(detrend="polynomial", degree=3))
+    return rounded(prep.clean(hourly(spark, sf), prep.Steps(detrend="polynomial", degree=3)))
 
 
-@query()
+def _cubic(rows: list[list[int]], first: str) -> str:
+    return " ".join(f"WHEN {first} = {i} THEN ({' + '.join(f'{c} * l[{k}]' for k, c in enumerate(row, 1))}) / 42.0" for i, row in enumerate(rows, 1))
+
+
+#: Least-squares cubics over seven points: at the first three of them, and in the middle; in units of 1/42.
+_ENDS = [[39, 8, -4, -4, 1, 4, -2], [8, 19, 16, 6, -4, -7, 4], [-4, 16, 19, 12, 2, -4, 1]]
+
+
+@query(
+    f"""i AS (SELECT condition, time, value, row_number() OVER (PARTITION BY condition ORDER BY time) AS i, count(*) OVER (PARTITION BY condition) AS n FROM h),
+e AS (SELECT condition, list(value ORDER BY i) FILTER (i <= 7) AS a, list(value ORDER BY i DESC) FILTER (i > n - 7) AS z FROM i GROUP BY 1),
+l AS (SELECT *, CASE WHEN i <= 3 THEN a ELSE z END AS l, n + 1 - i AS b, list(value) OVER (PARTITION BY condition ORDER BY time ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM i JOIN e USING (condition))
+SELECT 'value' AS variable, condition, time, round(CASE WHEN n < 7 THEN value {_cubic(_ENDS, "i")} {_cubic(_ENDS, "b")} ELSE (-2 * m[1] + 3 * m[2] + 6 * m[3] + 7 * m[4] + 6 * m[5] + 3 * m[6] - 2 * m[7]) / 21.0 END, 4) + 0.0 AS value FROM l"""
+)
 def smooth_savitzky_golay(spark, sf):  # noqa: ANN001, ANN201
-    return prep.clean(hourly(spark, sf), prep.Steps(smooth="savitzky_golay", smooth_rows=7))
+    return rounded(prep.clean(hourly(spark, sf), prep.Steps(smooth="savitzky_golay", smooth_rows=7)))
 
 
 @query()
