@@ -124,6 +124,51 @@ def test_cleaning(spark):
     assert max(abs(v) for v in value(prep.detrend_linear(line)).values()) < 1e-9
 
 
+def test_detrending_by_hours_and_new_nulls(spark):
+    t = np.arange(0, 96, 2.0)
+    v = 0.3 * t + np.cos(2 * np.pi * t / 24)
+    df = spark.createDataFrame(pd.DataFrame({"variable": "v", "condition": "a", "subject": "s", "time": t, "value": v}))
+    got = prep.clean(df, prep.Steps(detrend="moving_average", trend_hours=24)).orderBy("time").toPandas()
+    rows = prep.clean(df, prep.Steps(detrend="moving_average", trend_rows=12)).orderBy("time").toPandas()
+    assert got.value.to_numpy() == pytest.approx(pd.Series(v - pd.Series(v).rolling(12, center=True, min_periods=1).mean()).to_numpy())
+    assert got.value.to_numpy()[6:-6] == pytest.approx(rows.value.to_numpy()[6:-6])
+    spiked = df.withColumn("value", F.when(F.col("time") == 10, 999.0).otherwise(F.col("value")))
+    assert prep.new_nulls(spiked, prep.mask_iqr(spiked)).first().n_removed == 1
+
+
+def test_absent_genes_are_zeros(spark):
+    rows = [("g1", "c1", 2.0, "ZT02", "d", "AR1"), ("g2", "c1", 1.0, "ZT02", "d", "AR1"), ("g1", "c2", 5.0, "ZT06", "d", "AR2")]
+    got = {(r.gene, r.cell_id): r.value for r in expression.with_zeros(spark.createDataFrame(rows, "gene string, cell_id string, value double, timepoint string, date string, batch string")).collect()}
+    assert got == {("g1", "c1"): 2.0, ("g2", "c1"): 1.0, ("g1", "c2"): 5.0, ("g2", "c2"): 0.0}
+
+
+def test_wheel_range_and_summary(spark):
+    rows = [("w", dt.datetime(2020, 1, 1) + dt.timedelta(minutes=6 * i), None if i == 3 else i) for i in range(480)]
+    df = spark.createDataFrame(rows, "subject string, ts timestamp_ntz, activity long")
+    s = monitors.wheel_summary(df).first()
+    assert (s.samples, s.missing, s.total) == (480, 1, sum(range(480)) - 3) and s.days == pytest.approx(479 * 6 / 1440)
+    some = monitors.wheel_activity(df, "c", start="2020-01-02 00:00:00", end="2020-01-02 11:59:00")
+    assert some.count() == 24 and some.agg(F.sum("activity")).first()[0] == sum(range(240, 360))
+
+
+def test_consensus_scores(spark, tmp_path):
+    from tidewheel.operators import consensus
+
+    model = consensus.train(spark, 120, 20)
+    consensus.save(model, f"{tmp_path}/model")
+    t = np.arange(0, 72, 2.0)
+    rng = np.random.default_rng(0)
+    make = lambda c, v: pd.DataFrame({"variable": "v", "condition": c, "time": t, "value": v})
+    long = spark.createDataFrame(pd.concat([make("wave", 5 + np.cos(2 * np.pi * t / 24) + rng.normal(0, 0.1, 36)), make("noise", rng.normal(0, 1, 36)), make("flat", np.ones(36))]))
+    got = {r.condition: r for r in consensus.predict(long, consensus.load(f"{tmp_path}/model")).collect()}
+    again = {r.condition: r.consensus for r in consensus.predict(long, model).collect()}
+    assert {k: r.consensus for k, r in got.items()} == again and got["wave"].consensus > got["noise"].consensus and got["wave"].p_value == 1 - got["wave"].consensus
+    assert got["wave"].method_agreement == 1.0 and got["flat"].jtk_p == consensus.MISSING
+    assert sum(consensus.importances(model).values()) == pytest.approx(1)
+    scores = {(r.condition, r.method): r.score for r in consensus.method_scores(consensus.predict(long, model)).collect()}
+    assert len(scores) == 18 and all(0 <= v <= 1 for v in scores.values()) and scores["wave", "jtk"] > 0.9 and scores["flat", "cosinor"] == 0
+
+
 def test_adjustment_is_step_up(spark):
     p = [0.01, 0.04, 0.03, 0.005, None, 0.04]
     got = {r.i: r for r in aggregate.adjusted(spark.createDataFrame(list(enumerate(p)), "i int, p_value double")).collect()}

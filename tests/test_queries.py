@@ -6,7 +6,6 @@ import pytest
 from tidewheel.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"consensus_score", "count_best"}
 
 
 def rows(df):
@@ -25,7 +24,7 @@ def test_rows_equal_sql(spark, small, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_kernels_give_rows(spark, small, name):
     df = QUERIES[name](spark, small)
     got = df.collect()

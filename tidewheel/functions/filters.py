@@ -20,6 +20,20 @@ def detrend_polynomial(t: np.ndarray, v: np.ndarray, degree: int) -> np.ndarray:
     return v - np.polyval(np.polyfit(x[ok], v[ok], degree), x)
 
 
+def detrend_hours(t: np.ndarray, v: np.ndarray, hours: float) -> np.ndarray:
+    """Without the centred mean of as many samples as fill so many hours at the median spacing, 3 at least; missing values are skipped."""
+    gap = float(np.median(np.diff(np.sort(t)))) if len(t) > 1 else 0.0
+    if (~np.isnan(v)).sum() < 4 or gap <= 0:
+        return v
+    n = max(3, int(round(hours / gap)))
+    ok = ~np.isnan(v)
+    sums, counts = np.concatenate([[0.0], np.cumsum(np.where(ok, v, 0.0))]), np.concatenate([[0], np.cumsum(ok)])
+    at = np.arange(len(v))
+    lo, hi = np.maximum(at - n // 2, 0), np.minimum(at + -(-n // 2), len(v))
+    with np.errstate(invalid="ignore"):
+        return v - (sums[hi] - sums[lo]) / (counts[hi] - counts[lo])
+
+
 def savitzky_golay(v: np.ndarray, window: int, degree: int = 3) -> np.ndarray:
     """Least-squares polynomial in a centred odd window; at the ends the first and last windows' polynomials."""
     window = max(5, window | 1)

@@ -84,6 +84,7 @@ class Steps:
     outlier_k: float = 1.5
     detrend: str | None = None  # linear, moving_average, polynomial
     trend_rows: int = 25
+    trend_hours: float | None = None  # the moving average's window in hours instead of rows
     degree: int = 2
     smooth: str | None = None  # moving_average, savitzky_golay, butterworth
     smooth_rows: int = 5
@@ -97,6 +98,8 @@ def clean(long: DataFrame, steps: Steps, keys: list[str] = SERIES) -> DataFrame:
         long = {"iqr": mask_iqr, "z": mask_z}[steps.outliers](long, steps.outlier_k, keys)
     if steps.detrend == "linear":
         long = detrend_linear(long, keys)
+    elif steps.detrend == "moving_average" and steps.trend_hours:
+        long = by_kernel(long, lambda t, v: filters.detrend_hours(t, v, steps.trend_hours), keys)
     elif steps.detrend == "moving_average":
         long = detrend_moving_average(long, steps.trend_rows, keys)
     elif steps.detrend == "polynomial":
@@ -110,6 +113,14 @@ def clean(long: DataFrame, steps: Steps, keys: list[str] = SERIES) -> DataFrame:
     return long
 
 
+def new_nulls(before: DataFrame, after: DataFrame, keys: list[str] = SERIES) -> DataFrame:
+    """(keys, n_removed): values of each series that a cleaning made null."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("value").alias(name))
+    names = {k: f"_k_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return count(before, "_n").join(count(after, "_m").withColumnsRenamed(names), on).select(*keys, (F.col("_n") - F.col("_m")).alias("n_removed"))
+
+
 def by_kernel(long: DataFrame, kernel, keys: list[str] = SERIES) -> DataFrame:  # noqa: ANN001
     """Replace the values of each series, ordered by time, by kernel(times, values); NaN in and out is null."""
 

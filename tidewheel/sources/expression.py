@@ -24,6 +24,15 @@ def cell_counts(spark: SparkSession, glob: str) -> DataFrame:
     return long.select("gene", clean(F.col("_p.h")).alias("cell_id"), F.expr("try_cast(btrim(_p.v, '\" ') as double)").alias("value"), part(1).alias("timepoint"), part(2).alias("date"), part(3).alias("batch"))
 
 
+def with_zeros(counts: DataFrame) -> DataFrame:
+    """cell_counts() with a row for every gene of any file in every cell: 0 where a cell's file doesn't have it. The sparse form holds the same in less."""
+    cell = ["cell_id", "timepoint", "date", "batch"]
+    every = counts.select(*cell).distinct().crossJoin(counts.select("gene").distinct())
+    known = counts.select(*(F.col(c).alias(f"_{c}") for c in [*cell, "gene"]), "value")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*cell, "gene"]]
+    return every.join(known, on, "left").select("gene", "cell_id", F.coalesce("value", F.lit(0.0)).alias("value"), *cell[1:])
+
+
 def cell_fields(cells: DataFrame) -> DataFrame:
     """condition, time and cluster number and name from a cell's timepoint (LD or DD, hours) and its 'number:name' label."""
     return cells.select(

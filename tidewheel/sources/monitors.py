@@ -90,8 +90,20 @@ def read_wheels(spark: SparkSession, paths: str | Sequence[str], sample_minutes:
     return values.select("subject", F.timestamp_add("SECOND", (F.col("i") * sample_minutes * 60).cast("int"), "t0").alias("ts"), F.when(n >= 0, n).alias("activity"))
 
 
-def wheel_activity(rows: DataFrame, condition: str, minutes: float = 30.0, lights_on: str = "08:00", corrected: bool = True) -> DataFrame:
-    """(condition, subject, time, activity): counts of bins; a bin without counts has 0."""
+def wheel_activity(rows: DataFrame, condition: str, minutes: float = 30.0, lights_on: str = "08:00", corrected: bool = True, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(condition, subject, time, activity): counts of bins from start to end, both included; a bin without counts has 0."""
+    if start:
+        rows = rows.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    if end:
+        rows = rows.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
     first = F.min("ts").over(Window.partitionBy("subject"))
     timed = rows.withColumn("time", zeitgeber(F.col("ts"), first, lights_on, corrected))
     return timed.groupBy(F.lit(condition).alias("condition"), "subject", (F.floor(F.col("time") * 60 / minutes) * minutes / 60).alias("time")).agg(F.coalesce(F.sum("activity"), F.lit(0)).cast("long").alias("activity"))
+
+
+def wheel_summary(rows: DataFrame) -> DataFrame:
+    """(subject, first, last, days, samples, total, missing) of each recording."""
+    return rows.groupBy("subject").agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), (F.expr("timestampdiff(SECOND, min(ts), max(ts))") / 86400).alias("days"),
+        F.count("*").alias("samples"), F.coalesce(F.sum("activity"), F.lit(0)).alias("total"), F.count_if(F.col("activity").isNull()).alias("missing"),
+    )
