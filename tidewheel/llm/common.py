@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,25 +40,55 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows of the Arrow batches that Python functions get while a table is written.
+BATCH_ROWS = 512
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives executors.
+
+    Arrow batches are small while it is written, which bounds the memory of texts in executors and workers; then the session's setting is back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(key, BATCH_ROWS)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables that written() made; call it once their readers are done."""
-    while _written:
+def tables_made() -> int:
+    """How many tables written() has made that are still there; for release()."""
+    return len(_written)
+
+
+def release(since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables that written() made, but for the first ``since`` of them, and the last one if it is to stay; call it once their readers are done."""
+    last = [_written.pop()] if keep_last and len(_written) > since else []
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may be gone; the folder then goes with the cluster's own cleaning
-            return
+            break
+    _written.extend(last)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside go at the end: for work whose result is written elsewhere."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(since)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -67,15 +98,29 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(lo, rows)
 
 
-BATCH_ROWS = 512
+#: Rows up to which a side of a join is copied to all tasks.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df, which is counted for it and should be written, has at most so many rows that it may be broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def on_texts(kind: str, each: Callable[[list[str | None]], list]) -> Callable[[Column], Column]:
+    """A column function that gives each slice of texts to ``each``; a worker holds no more of them as Python strings at a time."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out: list = []
+        for lo in range(0, len(texts), 512):
+            out += each(texts.slice(lo, 512).to_pylist())
+        return pa.array(out, {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}[kind])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """docs, for Python functions over texts: the session's Arrow batches hold at most BATCH_ROWS rows from here on, which bounds
-    the memory of executors and workers and changes no result."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        docs.sparkSession.conf.set(key, BATCH_ROWS)
     return docs
 
 
