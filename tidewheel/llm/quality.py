@@ -1,16 +1,19 @@
 """Quality rules by sequence labelling: a linear-chain conditional random field marks each line as content or boilerplate.
 
 The lines of a document are its sequence; their features are classes of length, symbols, capitals, digits,
-repeated words, repeated lines and endings. The field is trained when the operator is planned, on a sample of
-at most SAMPLE labelled documents (those with the least digests): lines of documents labelled good count as
-content, lines of others as boilerplate. A document stays if at least KEEP_SHARE of its characters are in
-lines that Viterbi's recursion marks as content.
+repeated words, repeated lines, endings, and of the document's words. Labels are known for documents, not for lines, so that the
+lines' labels are latent: the field is trained when the operator is planned, on at most SAMPLE labelled documents (those with the least
+digests), in rounds. First lines alone learn from their documents' labels; then each round labels the lines by the probabilities of the round
+before, under the document's label, and trains the field on these. Under a good label at least KEEP_SHARE of a document's characters
+are content, under a bad one less than that: where the probabilities say otherwise, the lines that speak most for it give way.
+A document stays if at least KEEP_SHARE of its characters are in lines that Viterbi's recursion marks as content.
 
 Cost: one scan without a shuffle; what the driver gathers is bounded by SAMPLE.
 
-Defined cases: null and blank texts have no lines, a share of 0, and don't stay; blank lines are skipped; without
+Defined cases: null and blank texts have no lines, a share of 0, and don't stay; blank lines are skipped; very long texts are decoded whole; without
 labelled documents of both kinds every line counts as content; a null id is kept; rows that repeat an id each
-have their own row; an empty table gives an empty result; other columns pass through ``filtered`` unchanged.
+have their own row, and where such an id is labelled, its least text teaches; an empty table gives an empty result; other columns pass
+through ``filtered`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import crf
-from tidewheel.llm.common import pieces, table, texts_of
+from tidewheel.llm.common import on_texts, pieces, table
 
 SAMPLE = 3000
 KEEP_SHARE = 0.5
+#: Trainings of the field on lines labelled by the one before.
+ROUNDS = 2
+#: Lines of a training sequence; longer documents are cut.
+PART = 64
 #: Upper bounds of the classes of each measure.
 CLASSES = [
     np.array([1, 2, 4, 8, 16, 32, 64, 128]),  # words
@@ -37,6 +44,7 @@ CLASSES = [
     np.array([0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 0.99]),  # distinct words to words
     np.array([1, 2, 5]),  # times that the line is in the document
     np.array([0, 1, 2]),  # ending: sentence, other letter, other
+    np.array([8, 16, 32, 64]),  # words of the document
 ]
 _OFFSETS = np.cumsum([0, *(len(c) + 1 for c in CLASSES)])
 #: Distinct words tell little in a short line: their classes are apart for short, middle and long lines.
@@ -66,6 +74,7 @@ def measures(lines: list[str]) -> np.ndarray:
         row[5] = times[line]
         end = line.rstrip()[-1]
         row[6] = 0 if end in ".!?:;" else 1 if end.isalnum() else 2
+    out[:, 7] = out[:, 0].sum()
     return out
 
 
@@ -78,19 +87,43 @@ def features(lines: list[str]) -> np.ndarray:
     return ids
 
 
+def lines_labelled(content: np.ndarray, good: bool, sizes: np.ndarray, keep_share: float = KEEP_SHARE) -> np.ndarray:
+    """1 for content and 0 for boilerplate, by the lines' probabilities of content, so that the share of characters agrees with the document's label."""
+    marks = (content >= 0.5).astype(int)
+    total = sizes.sum()
+    for i in np.argsort(-content if good else content, kind="stable"):
+        if ((sizes * marks).sum() >= keep_share * total) == good:
+            break
+        marks[i] = int(good)
+    return marks
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> crf.Model | None:
     """A field from at most ``sample`` labelled documents; None without documents of both kinds."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * sample).collect()
-    pairs = [(x, r.quality) for r in rows if (x := lines_of(r.text))]
-    if len({q for _, q in pairs}) < 2:
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # the sample bounds it
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
+    pairs = [(x, r.quality > 0) for r in rows if (x := lines_of(r.text))]
+    return fitted([x for x, _ in pairs], [q for _, q in pairs])
+
+
+def fitted(split: list[list[str]], good: list[bool], rounds: int = ROUNDS) -> crf.Model | None:
+    if len(set(good)) < 2:
         return None
-    seqs = [features(x) for x, _ in pairs]
-    marks = [np.full(len(x), int(q > 0)) for x, q in pairs]
-    # long documents are trained in parts of 64 lines
-    cut = lambda xs: [x[i : i + 64] for x in xs for i in range(0, len(x), 64)]
-    return crf.train(cut(seqs), cut(marks), N_FEATURES, 2, l2=1.0)
+    seqs = [features(x) for x in split]
+    sizes = [np.array([len(line) for line in x]) for x in split]
+    alone = [x[i : i + 1] for x in seqs for i in range(len(x))]
+    lines = crf.train(alone, [np.array([int(q)]) for x, q in zip(seqs, good, strict=True) for _ in x], N_FEATURES, 2, l2=1.0)
+    ends = np.cumsum([len(x) for x in seqs])[:-1]
+    content = np.split(np.array([p[0, 1] for p in crf.marginals(alone, lines)]), ends)
+    cut = lambda xs: [x[i : i + PART] for x in xs for i in range(0, len(x), PART)]
+    model = None
+    for _ in range(rounds):
+        marks = [lines_labelled(p, q, n) for p, q, n in zip(content, good, sizes, strict=True)]
+        model = crf.train(cut(seqs), cut(marks), N_FEATURES, 2, l2=1.0)
+        content = [p[:, 1] for p in crf.marginals(seqs, model)]
+    return model
 
 
 def shares(texts: list[str | None], model: crf.Model | None) -> list[tuple[int, int, float]]:
@@ -117,7 +150,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE) ->
                 ["doc_id", "n_lines", "n_content", "content_share", "keep"],
             )
 
-    light = texts_of(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    light = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return light.mapInArrow(run, f"doc_id {light.schema['doc_id'].dataType.simpleString()}, n_lines long, n_content long, content_share double, keep boolean")
 
 
@@ -125,11 +158,8 @@ def filtered(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE)
     """The rows of docs, with all columns, that stay."""
     model = fit(docs, labels)
 
-    @F.pandas_udf("boolean")
-    def stays(texts):  # noqa: ANN001, ANN202
-        return texts.__class__([n > 0 and s >= keep_share for n, _, s in shares(list(texts), model)])
-
-    return texts_of(docs).filter(stays(F.col("text").cast("string")))
+    stays = on_texts("boolean", lambda texts: [n > 0 and s >= keep_share for n, _, s in shares(texts, model)])
+    return docs.filter(stays(F.col("text").cast("string")))
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
