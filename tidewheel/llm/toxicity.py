@@ -15,17 +15,24 @@
    difference over their sum and PRIOR seeds' rate is its polarity. A positive one needs support: edges to positive words
    whose polarities add up to SUPPORT, or to the number of seeds where they are fewer; a seed counts 1. Words that
    got support give it in turn, so that a word can be reached over several hops. Of several languages' polarities a word keeps the highest.
-5. A document's score is the sum of the positive polarities of its words over their number; the threshold is
+5. A document's score is the sum of its words' polarities from LEAST_WEIGHT on over their number; the threshold is
    the one with the best F1 on the sample.
 
-Cost: HOPS + 2 scans; the first shuffles the word sets of all lines once, the others those of the frontier's lines, and
-the rest moves counts that each task has summed. A frontier has
-at most 1 / PUSH words a language, since the rates add up to 1. The driver holds the words near the seeds,
-which their number and the confidence bound keep to a small part of the vocabulary.
-
-Defined cases: words are runs of letters, in lower case; null and blank texts score 0 and aren't toxic; without labelled
-documents of both kinds, or without seeds, no document is toxic; a null id is kept; rows that repeat an id each
-have their own score; an empty table gives an empty result; other columns pass through ``clean`` unchanged.
+The graph stays distributed. Each edge has an end in the frontiers (those of all rounds), so that a walk that leaves them is back after one
+step: the words beyond are eliminated by a join of their edges with each other, whose sums are a matrix over the frontiers' words. The driver
+walks on this matrix, with the same steps as over the whole graph, and a join of the edges with the frontiers' rates gives those of all other words.
+
+Cost: HOPS + 3 scans. The first shuffles a key of 8 bytes for each line and makes a filter of fixed size of those that stand more than once; it is broadcast.
+Lines that it rules out are counted where they are, and only the others, one copy from each task at most for each set of counts, are shuffled with their
+words. With more repeated lines than the filter tells apart more lines take this way, and the counts are the same. What else moves is counts that each
+task has summed. A frontier has at most 1 / PUSH words a language, since the rates add up to 1, and the
+driver holds the matrix of the frontiers and the lexicon. As the rates from toxic seeds add up to 1 and a seed's own is at least
+RESTART / SEEDS, at most SEEDS / (PRIOR * RESTART * LEAST_WEIGHT) words of a language can reach LEAST_WEIGHT.
+
+Defined cases: words are runs of letters, in lower case; null and blank texts score 0 and aren't toxic; very long texts count whole; without labelled
+documents of both kinds, or without seeds, no document is toxic; a null id is kept, and teaches nothing; rows that repeat an id each
+have their own score, and where such an id is labelled, its least language and text teach; an empty table gives an empty result; other columns
+pass through ``clean`` unchanged, whatever their names, and through ``scores``, but for score and toxic, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
@@ -45,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import near_dup
-from tidewheel.llm.common import pieces, table, texts_of, written
+from tidewheel.llm.common import on_texts, pieces, table, written
 
 SAMPLE = 5000
 SEEDS, CLEAN_SEEDS = 40, 40
@@ -63,8 +70,14 @@ RESTART = 0.3
 PRIOR = 0.25
 #: Toxic seeds, or as many positive words as have their weight, that a word must have edges with to get a positive polarity or into the frontier.
 SUPPORT = 3
+#: Least polarity of a word in the lexicon.
+LEAST_WEIGHT = 0.02
+#: Steps of a walk; what is left out of the rates is less than (1 - RESTART) ** STEPS.
+STEPS = 60
 #: Words that a task counts before it hands its counts on.
 HELD = 100_000
+#: Words of 64 bits in the filter that tells which lines may be repeated; a power of two.
+FILTER_WORDS = 1 << 20
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,25 +91,26 @@ def line_words(text: str | None) -> Iterator[set[str]]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    weights: dict[str, float]  # polarity from -1 (clean) to 1 (toxic)
+    weights: dict[str, float]  # polarity, to 1
     threshold: float
 
     def score(self, text: str | None) -> float:
         words = WORD.findall((text or "").lower())
         get = self.weights.get
-        return sum(max(0.0, get(w, 0.0)) for w in words) / len(words) if words else 0.0
+        return sum(get(w, 0.0) for w in words) / len(words) if words else 0.0
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str | None, bool]]:
     """(language, text, toxic) of the sample."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = light(docs, "doc_id").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * sample)
-    return [(r.lang, r.text, r.toxic > 0) for r in rows.collect()]
+    found = light(docs, "doc_id").join(F.broadcast(chosen), "doc_id")  # the sample bounds it
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"), F.max("toxic").alias("toxic")).orderBy("doc_id")
+    return [(r.x.lang, r.x.text, r.toxic > 0) for r in rows.collect()]
 
 
 def light(docs: DataFrame, *more: str) -> DataFrame:
-    return texts_of(docs).select(*more, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    return docs.select(*more, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
 def without_copies(rows: list[tuple[str, str | None, bool]]) -> list[tuple[str, str | None, bool]]:
@@ -205,78 +219,85 @@ def line_key(lang: str, found: set[str]) -> int:
     return int.from_bytes(blake2b(f"{lang} {' '.join(sorted(found))}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def distinct_lines(docs: DataFrame, cut: Callable[[str, set[str]], set[str] | None], count: Callable[[Iterator[tuple[str, list[str]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What count makes of (language, words) of the lines that cut doesn't give None for, each set of words of a language once.
+class Repeated:
+    """Tells of lines whether they may stand more than once among all: a filter of FILTER_WORDS words of 64 bits, each key setting three bits of one word.
+
+    Of repeated lines it never says no; others it may take for repeated, which costs a shuffle of them and changes no count."""
+
+    def __init__(self, bits) -> None:  # noqa: ANN001
+        self.bits = bits  # a broadcast variable
+        self._view = None
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "_view": None}
 
-    Words are those that cut leaves; which lines are the same is told by all their words."""
+    def __contains__(self, key: int) -> bool:
+        if self._view is None:
+            self._view = memoryview(self.bits.value).cast("Q")
+        mask = 1 << (key >> 32 & 63) | 1 << (key >> 38 & 63) | 1 << (key >> 44 & 63)
+        return self._view[key & len(self._view) - 1] & mask == mask
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+
+def repeated_lines(docs: DataFrame) -> Repeated:
+    """The filter of the lines' keys that stand more than once; only keys are shuffled."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            keys: list[int] = []
-            langs: list[str] = []
-            words: list[str] = []
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for found in line_words(text):
-                    left = cut(lang, found)
-                    if left is not None and (key := line_key(lang, found)) not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        langs.append(lang)
-                        words.append(" ".join(left))
-            # only to shuffle less: the copies that this lets through meet after the shuffle
-            if len(seen) > HELD:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(words, pa.string())], ["h", "lang", "words"])
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-
-        def rows() -> Iterator[tuple[str, list[str]]]:
-            for b in pieces(batches):
-                for key, lang, words in zip(b.column("h").to_pylist(), b.column("lang").to_pylist(), b.column("words").to_pylist(), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        yield lang, words.split(" ") if words else []
+            found = [line_key(lang, words) for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) for words in line_words(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
+
+    several = written(light(docs).mapInArrow(keys, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "toxic-repeated")
+    bit = lambda by: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {by}) & 63 as int))")
+    mask = bit(32).bitwiseOR(bit(38)).bitwiseOR(bit(44))
+    # as many rows as the filter has words, at most
+    words = several.select(F.expr(f"h & {FILTER_WORDS - 1}").alias("i"), mask.alias("m")).groupBy("i").agg(F.bit_or("m").alias("m")).toArrow()
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits[words.column("i").to_numpy()] = words.column("m").to_numpy()
+    return Repeated(docs.sparkSession.sparkContext.broadcast(bits.tobytes()))
 
-        yield from count(rows())
 
-    return light(docs).mapInArrow(lines, "h long, lang string, words string").repartition("h").mapInArrow(once, schema)
+def line_counts(docs: DataFrame, repeated: Repeated) -> DataFrame:
+    """(lang, word, n): distinct lines of the language that hold the word; "" has the number of lines. Words of one line are left out, since they make no edge.
 
+    A line that may be repeated is a word of its own, after a line feed, until the first sums have made one of all its copies."""
 
-def _count_words(rows: Iterator[tuple[str, list[str]]]) -> Iterator[pa.RecordBatch]:
-    held: Counter[tuple[str, str]] = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, str]] = Counter()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
-    for lang, words in rows:
-        held.update((lang, w) for w in words)
-        held[lang, ""] += 1
-        if len(held) > HELD:
+        for b in pieces(batches):
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for found in line_words(text):
+                    if line_key(lang, found) in repeated:
+                        held[lang, "\n" + " ".join(sorted(found))] = 1
+                    else:
+                        held.update((lang, w) for w in found)
+                        held[lang, ""] += 1
+                    if len(held) > HELD:
+                        yield out()
+                        held.clear()
+        if held:
             yield out()
-            held.clear()
-    if held:
-        yield out()
 
+    first = written(light(docs).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "toxic-lines")
+    line = F.col("word").startswith("\n")
+    copies = first.filter(line).select("lang", F.explode(F.concat(F.array(F.lit("")), F.split(F.substring("word", 2, 2**31 - 1), " "))).alias("word"), F.lit(1).cast("long").alias("n"))
+    return written(first.filter(~line).unionByName(copies).groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("n > 1 or word = ''"), "toxic-lines")
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n): distinct lines of the language that hold the word; "" has the number of lines. Words of one line are left out, since they make no edge."""
-    part = distinct_lines(docs, lambda lang, found: found, _count_words, "lang string, word string, n long")
-    return written(part.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("n > 1 or word = ''"), "toxic-lines")
 
+def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, set[str]], counts: DataFrame, repeated: Repeated) -> DataFrame:
+    """(lang, a, b, weight) for each a of the language's frontier: the edges of the graph that it has.
 
-def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, set[str]], counts: DataFrame) -> DataFrame:
-    """(lang, a, b, weight) for each a of the language's frontier: the edges of the graph that it has."""
+    Pairs are counted in the tasks. A line that may be repeated goes on as a pair of its own, of -1 and its key, language and words, until the first sums
+    have made one of all its copies; then its pairs are counted."""
     spark = docs.sparkSession
     starts = [(x, a) for x in sorted(frontier) for a in sorted(frontier[x])]
     place = {key: i for i, key in enumerate(starts)}
 
-    def cut(lang: str, found: set[str]) -> set[str] | None:
-        wanted = frontier.get(lang)
-        return found - stop.get(lang, set()) if wanted and not wanted.isdisjoint(found) else None
-
-    def run(rows: Iterator[tuple[str, list[str]]]) -> Iterator[pa.RecordBatch]:
+    def counted(lines: Iterator[tuple[str, set[str], int | None]]) -> Iterator[pa.RecordBatch]:
+        """at, b, both of lines (language, words, key); those with a key are given on."""
         held: dict[int, Counter[str]] = defaultdict(Counter)
         size = 0
 
@@ -284,12 +305,16 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
             at = [i for i, c in held.items() for _ in c]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([w for c in held.values() for w in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int32())], ["at", "b", "both"])
 
-        for lang, found in rows:
-            for a in frontier[lang].intersection(found):
-                c = held[place[lang, a]]
-                size -= len(c)
-                c.update(found)
-                size += len(c)
+        for lang, words, key in lines:
+            if key is not None:
+                size += 1
+                held[-1][f"{key} {lang}\n{' '.join(sorted(words))}"] = 1
+            else:
+                for a in frontier[lang].intersection(words):
+                    c = held[place[lang, a]]
+                    size -= len(c)
+                    c.update(words)
+                    size += len(c)
             if size > HELD:
                 yield out()
                 held.clear()
@@ -297,10 +322,35 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
         if held:
             yield out()
 
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lines() -> Iterator[tuple[str, set[str], int | None]]:
+            for b in pieces(batches):
+                for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    wanted = frontier.get(lang)
+                    for found in line_words(text) if wanted else ():
+                        if not wanted.isdisjoint(found):
+                            key = line_key(lang, found)
+                            yield lang, found - stop.get(lang, set()), key if key in repeated else None
+
+        yield from counted(lines())
+
+    def of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lines() -> Iterator[tuple[str, set[str], int | None]]:
+            for b in pieces(batches):
+                for text in b.column("b").to_pylist():
+                    head, _, words = text.partition("\n")
+                    yield head.partition(" ")[2], set(words.split(" ")) if words else set(), None
+
+        yield from counted(lines())
+
+    kind = "at int, b string, both int"
+    sums = lambda df: df.groupBy("at", "b").agg(F.sum("both").cast("int").alias("both"))
+    first = written(sums(light(docs).mapInArrow(of_texts, kind)), "toxic-pairs")
+    copies = first.filter("at = -1").select("b").mapInArrow(of_lines, kind)
+    both = sums(first.filter("at >= 0").unionByName(copies))
     names = spark.createDataFrame([(i, *key) for i, key in enumerate(starts)], "at int, lang string, a string")
-    both = distinct_lines(docs, cut, run, "at int, b string, both int").groupBy("at", "b").agg(F.sum("both").alias("both"))
-    both = both.filter(F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double")) > 0).join(names, "at").filter("a != b")
     bound = F.col("both") - BOUND_Z * F.sqrt(F.col("both").cast("double"))
+    both = both.filter(bound > 0).join(F.broadcast(names), "at").filter("a != b")  # names: the frontier's words
     ends = lambda x: counts.filter("word != ''").select("lang", F.col("word").alias(x), F.col("n").alias(f"n_{x}"))
     total = counts.filter("word = ''").select("lang", F.col("n").alias("n_lines"))
     return (
@@ -311,46 +361,100 @@ def neighbours(docs: DataFrame, frontier: dict[str, set[str]], stop: dict[str, s
     )
 
 
-def walk(edges: dict[tuple[str, str], float], bad: list[str], good: list[str], restart: float = RESTART) -> tuple[dict[str, float], dict[str, float]]:
-    """Polarity, and the rate of visits from toxic seeds (0 without support), of every word of the graph, from random walks with restart.
-
-    Support starts from the seeds and grows over the graph until no word joins."""
-    names = sorted({w for e in edges for w in e} | set(bad) | set(good))
-    if not names or not bad:
-        return {}, {}
-    at = {w: i for i, w in enumerate(names)}
-    n = len(names)
-    # either direction of an edge has its weight
-    both = {(at[a], at[b]): x for (a, b), x in edges.items()}
-    both |= {(j, i): x for (i, j), x in both.items()}
-    keys = sorted(both)
-    src, dst = np.array([k[0] for k in keys], int), np.array([k[1] for k in keys], int)
-    weight = np.array([both[k] for k in keys])
-    degree = np.bincount(src, weight, n) if len(keys) else np.zeros(n)
-
-    def visits(start: list[str]) -> np.ndarray:
-        s = np.zeros(n)
+@dataclass
+class Side:
+    """A language's part of the walk on the driver: the frontiers' words and the sums over all others."""
+
+    names: list[str]
+    bad: list[str]
+    good: list[str]
+
+    def __post_init__(self) -> None:
+        n = len(self.names)
+        self.at = {w: i for i, w in enumerate(self.names)}
+        self.direct, self.through, self.degree = np.zeros((n, n)), np.zeros((n, n)), np.zeros(n)
+        self.starts = np.zeros(n, bool)
+        self.starts[[self.at[w] for w in self.bad]] = True
+
+    def visits(self, start: list[str], restart: float = RESTART) -> tuple[np.ndarray, np.ndarray]:
+        """The rates of the frontiers' words, and what each of their edges' weight gives to the rate of a word beyond."""
+        s = np.zeros(len(self.names))
         if not start:
-            return s
-        np.add.at(s, [at[w] for w in start], 1 / len(start))
-        p = s.copy()
-        for _ in range(60):
-            step = np.bincount(dst, (p / np.where(degree > 0, degree, 1))[src] * weight, n) if len(keys) else np.zeros(n)
-            p = restart * s + (1 - restart) * (step + s * p[degree == 0].sum())
-        return p
-
-    plus, minus = visits(bad), visits(good)
-    polarity = (plus - minus) / (plus + minus + PRIOR * plus[[at[w] for w in bad]].mean())
-    starts = np.zeros(n, bool)
-    starts[[at[w] for w in bad]] = True
-    found, size = starts, -1
-    while found.sum() > size and len(keys):
-        size = found.sum()
-        strength = np.where(starts, 1.0, np.where(found, np.maximum(polarity, 0), 0))
-        support = np.bincount(dst, strength[src], n)
-        found = found | ((support >= min(SUPPORT, starts.sum())) & (polarity > 0))
-    polarity, plus = np.where(found, polarity, np.minimum(polarity, 0)), np.where(found, plus, 0)
-    return dict(zip(names, polarity.tolist(), strict=True)), dict(zip(names, plus.tolist(), strict=True))
+            return s, s
+        np.add.at(s, [self.at[w] for w in start], 1 / len(start))
+        degree = self.degree + self.direct.sum(axis=1)
+        given = lambda p: p / np.where(degree > 0, degree, 1)
+        before, p = np.zeros_like(s), s.copy()
+        for _ in range(STEPS):
+            step = given(p) @ self.direct + (1 - restart) * (given(before) @ self.through)
+            before, p = p, restart * s + (1 - restart) * (step + s * p[degree == 0].sum())
+        return p, (1 - restart) * given(before)
+
+    def walk(self) -> None:
+        self.plus, self.gives_plus = self.visits(self.bad)
+        self.minus, self.gives_minus = self.visits(self.good)
+        self.prior = float(PRIOR * self.plus[self.starts].mean())
+        self.polarity = (self.plus - self.minus) / (self.plus + self.minus + self.prior)
+        self.needed = min(SUPPORT, int(self.starts.sum()))
+        self.found = self.starts.copy()
+
+    def strength(self) -> np.ndarray:
+        return np.where(self.starts, 1.0, np.where(self.found, np.maximum(self.polarity, 0), 0))
+
+    def grown(self, beyond: np.ndarray) -> bool:
+        """Whether words of the frontiers join, given the support that they have from words beyond."""
+        size = self.found.sum()
+        while True:
+            support = (self.direct > 0) @ self.strength() + beyond
+            found = self.found | ((support >= self.needed) & (self.polarity > 0))
+            if found.sum() == self.found.sum():
+                return bool(found.sum() > size)
+            self.found = found
+
+
+def walked(edges: DataFrame, starts: Mapping[str, tuple[list[str], list[str]]], frontiers: Mapping[str, set[str]], least: float = LEAST_WEIGHT) -> tuple[dict[str, dict[str, float]], dict[str, set[str]]]:
+    """By language: the words with support and a polarity of at least ``least``, and those among all others whose rate of visits from toxic seeds reaches PUSH.
+
+    edges: (lang, a, b, weight) with each a in the frontiers, as neighbours() gives them, written."""
+    spark = edges.sparkSession
+    sides = {x: Side(sorted(frontiers[x]), bad, good) for x, (bad, good) in starts.items()}
+    rows = lambda f, kind: F.broadcast(spark.createDataFrame([(x, w, *v) for x, side in sides.items() for w, v in zip(side.names, f(side), strict=True)], f"lang string, {kind}"))
+    inside = rows(lambda side: [()] * len(side.names), "b string")  # as many rows as the frontiers have words
+    for r in edges.join(inside, ["lang", "b"]).select("lang", "a", "b", "weight").collect():
+        side = sides[r.lang]
+        i, j = side.at[r.a], side.at[r.b]
+        side.direct[i, j] = side.direct[j, i] = r.weight
+    out = written(edges.join(inside, ["lang", "b"], "left_anti").select("lang", "a", "b", "weight"), "toxic-beyond")
+    for r in out.groupBy("lang", "a").agg(F.sum("weight").alias("w")).collect():
+        sides[r.lang].degree[sides[r.lang].at[r.a]] = r.w
+    degree = out.groupBy("lang", "b").agg(F.sum("weight").alias("degree"))
+    left, right = out.join(degree, ["lang", "b"]).select("lang", "b", "a", (F.col("weight") / F.col("degree")).alias("share")), out.select("lang", "b", F.col("a").alias("to"), "weight")
+    for r in left.join(right, ["lang", "b"]).groupBy("lang", "a", "to").agg(F.sum(F.col("share") * F.col("weight")).alias("w")).collect():
+        side = sides[r.lang]
+        side.through[side.at[r.a], side.at[r.to]] = r.w
+    for side in sides.values():
+        side.walk()
+    gives = rows(lambda side: zip(side.gives_plus.tolist(), side.gives_minus.tolist(), [side.prior] * len(side.names), strict=True), "a string, _plus double, _minus double, prior double")
+    rates = out.join(gives, ["lang", "a"]).groupBy("lang", "b").agg(F.sum(F.col("weight") * F.col("_plus")).alias("plus"), F.sum(F.col("weight") * F.col("_minus")).alias("minus"), F.max("prior").alias("prior"))
+    positive = rates.filter("plus > minus").select("lang", "b", "plus", ((F.col("plus") - F.col("minus")) / (F.col("plus") + F.col("minus") + F.col("prior"))).alias("polarity"))
+    near = written(out.select("lang", "a", "b").join(positive, ["lang", "b"]), "toxic-near")
+    while True:
+        strength = rows(lambda side: [(v, side.needed) for v in side.strength().tolist()], "a string, strength double, needed int")
+        held = near.join(strength, ["lang", "a"]).groupBy("lang", "b", "plus", "polarity").agg(F.sum("strength").alias("support"), F.max("needed").alias("needed"))
+        held = written(held.filter("support >= needed").select("lang", "b", "plus", "polarity"), "toxic-held")
+        beyond = {x: np.zeros(len(side.names)) for x, side in sides.items()}
+        for r in near.select("lang", "a", "b").join(held, ["lang", "b"]).groupBy("lang", "a").agg(F.sum("polarity").alias("p")).collect():
+            beyond[r.lang][sides[r.lang].at[r.a]] = r.p
+        if not any([side.grown(beyond[x]) for x, side in sides.items()]):
+            break
+    lexicon = {x: {w: float(side.polarity[i]) for w, i in side.at.items() if side.found[i] and side.polarity[i] >= least} for x, side in sides.items()}
+    following: dict[str, set[str]] = {x: set() for x in sides}
+    for r in held.filter((F.col("polarity") >= least) | (F.col("plus") >= PUSH)).collect():
+        if r.polarity >= least:
+            lexicon[r.lang][r.b] = r.polarity
+        if r.plus >= PUSH:
+            following[r.lang].add(r.b)
+    return lexicon, following
 
 
 def threshold(scores: list[tuple[float, bool]]) -> float:
@@ -373,52 +477,42 @@ def induce(docs: DataFrame, labels: DataFrame, hops: int = HOPS) -> Lexicon:
     starts = seeds_by_language(rows)
     if not starts:
         return Lexicon({}, math.inf)
-    counts = line_counts(docs)
+    repeated = repeated_lines(docs)
+    counts = line_counts(docs, repeated)
     n_lines = counts.filter("word = ''").select("lang", F.col("n").alias("n_lines"))
     stop: dict[str, set[str]] = {}
     for r in counts.filter("word != ''").join(F.broadcast(n_lines), "lang").filter(F.col("n") > STOP_SHARE * F.col("n_lines")).collect():
         stop.setdefault(r.lang, set()).add(r.word)
-    edges: dict[str, dict[tuple[str, str], float]] = {x: {} for x in starts}
     frontier = {x: {*bad, *good} for x, (bad, good) in starts.items()}
     done: dict[str, set[str]] = {x: set() for x in starts}
+    edges: DataFrame | None = None
     weights: dict[str, dict[str, float]] = {}
     for _ in range(hops):
-        for r in neighbours(docs, frontier, stop, counts).collect():
-            edges[r.lang][r.a, r.b] = r.weight
-        for x, (bad, good) in starts.items():
-            done[x] |= frontier[x]
-            polarity, visits = walk(edges[x], bad, good)
-            frontier[x] = {w for w, rate in visits.items() if rate >= PUSH} - done[x]
-            weights[x] = polarity
+        new = written(neighbours(docs, frontier, stop, counts, repeated), "toxic-edges")
+        edges = new if edges is None else edges.unionByName(new)
+        done = {x: done[x] | frontier[x] for x in starts}
+        weights, frontier = walked(edges, starts, done)
         if not any(frontier.values()):
             break
     merged: dict[str, float] = {}
     for polarity in weights.values():
         for w, value in polarity.items():
-            merged[w] = max(round(value, 6), merged.get(w, -1.0))
+            merged[w] = max(round(value, 6), merged.get(w, 0.0))
     scorer = Lexicon(merged, 0.0)
     return Lexicon(merged, threshold([(scorer.score(t), toxic) for _, t, toxic in rows]))
 
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with score and toxic."""
-
-    @F.pandas_udf("double")
-    def scored(texts):  # noqa: ANN001, ANN202
-        return texts.__class__([round(lexicon.score(t), 6) for t in texts], dtype="float64")
-
-    return texts_of(docs).withColumn("score", scored(F.col("text").cast("string"))).withColumn("toxic", F.col("score") >= F.lit(lexicon.threshold))
+    """docs with score and toxic, which take the place of columns of these names."""
+    scored = on_texts("double", lambda texts: [round(lexicon.score(t), 6) for t in texts])
+    return docs.withColumn("score", scored(F.col("text").cast("string"))).withColumn("toxic", F.col("score") >= F.lit(lexicon.threshold))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that aren't toxic."""
     lexicon = induce(docs, labels)
-
-    @F.pandas_udf("boolean")
-    def stays(texts):  # noqa: ANN001, ANN202
-        return texts.__class__([round(lexicon.score(t), 6) < lexicon.threshold for t in texts], dtype=bool)
-
-    return texts_of(docs).filter(stays(F.col("text").cast("string")))
+    stays = on_texts("boolean", lambda texts: [round(lexicon.score(t), 6) < lexicon.threshold for t in texts])
+    return docs.filter(stays(F.col("text").cast("string")))
 
 
 def op7_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
