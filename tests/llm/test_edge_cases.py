@@ -1,10 +1,12 @@
 """Every operator and stage on nulls, blank and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewheel.llm import chat, hnsw, licenses, mixing, near_dup, packing, pii, quality, token_counts, toxicity
+from tidewheel.llm import chat, common, hnsw, licenses, mixing, near_dup, packing, pii, quality, token_counts, toxicity
 from tidewheel.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, _n string, h string, score string, `group` string, _id string, _h string, _row string"
@@ -20,6 +22,12 @@ def rows():
     return [(*r[:4], r[4], 1, *x[:4], "12", "13", "14") for r in out]
 
 
+@pytest.fixture(autouse=True)
+def tables_go():
+    yield
+    common.release()
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(rows(), DOCS).cache()
@@ -103,7 +111,7 @@ def test_toxicity(spark, docs, nothing, labels):
 
 
 def test_token_counts(spark, docs, nothing):
-    cache = f"{shared_dir(spark)}/cache-edge"
+    cache = f"{shared_dir(spark)}/cache-edge-{uuid.uuid4().hex}"
     got = token_counts.counts(docs, cache).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: r.n_tokens for r in got if r.doc_id in (100, 101, 102)} == {100: 0, 101: 0, 102: 0}
@@ -111,6 +119,55 @@ def test_token_counts(spark, docs, nothing):
     assert token_counts.counts(nothing, f"{cache}-2").count() == 0
 
 
+def test_operators_leave_the_session_as_it_is(spark, docs, labels):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    quality.judge(docs, labels).count()
+    near_dup.pairs(docs).count()
+    toxicity.scores(docs, toxicity.induce(docs, labels)).count()
+    pii.findings(docs).count()
+    assert spark.conf.get(key) == before
+
+
+def test_scratch_tables_go(spark, docs):
+    import os
+
+    outer = common.written(docs, "kept")
+    with common.scratch():
+        inner = common.written(docs.limit(3), "dropped")
+        assert inner.count() == 3
+        path = common._written[-1][1]
+        assert os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:")) and outer.count() == docs.count()
+
+
+def test_license_scan_of_repeated_rows_and_null_ids(spark):
+    rows = [(7, "Released under the MIT License"), (7, "Released under the MIT License"), (None, "All rights reserved")]
+    got = sorted((str(r.doc_id), licenses.TEMPLATES[r.template][1]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # two templates share enough words with the line
+    assert got == [("7", "Licensed under the MIT License")] * 2 + [("7", "Released under the MIT License")] * 2 + [("None", "All rights reserved")]
+
+
+def test_long_conversations(spark):
+    turns = [(1, i, "assistant" if i % 100 == 99 else "user", "word " * 300) for i in range(1200)] * 2
+    got = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 12 and max(r.n_context for r in got) == 1199 and all(r.text[r.train_from : r.train_to] == "word " * 300 + "<|end|>\n" for r in got)
+
+
+def test_quality_and_personal_data_of_repeated_rows(spark, labels):
+    docs = spark.createDataFrame([(1, "ana.42@mail.example.com said so."), (1, "ana.42@mail.example.com said so."), (None, "ana.42@mail.example.com"), (2, None)], "doc_id long, text string")
+    assert pii.findings(docs).count() == 3 and pii.redact(docs).filter("text like '%<EMAIL>%'").count() == 3
+    assert quality.judge(docs, labels).count() == 4 and quality.filtered(docs, spark.createDataFrame([], LABELS)).count() == 3
+
+
+def test_clashing_names(spark, labels):
+    names = ["_text", "content", "_who", "score", "keep", "_n", "_at", "_s", "_cut", "a", "b", "node", "group", "_weight"]
+    docs = spark.createDataFrame([(i, f"text of document {i % 4} by the river", "en", "s", *["x"] * len(names)) for i in range(12)], f"doc_id long, text string, lang string, source string, {', '.join(f'`{n}` string' for n in names)}")
+    for out in (mixing.mix(docs, ratio=None), near_dup.dedup(docs), pii.redact(docs), quality.filtered(docs, labels), toxicity.clean(docs, labels)):
+        assert out.columns == docs.columns and {r[-1] for r in out.collect()} == {"x"}
+    assert token_counts.counts(docs, f"{shared_dir(spark)}/cache-clash-{uuid.uuid4().hex}").count() == 12 and packing.pack(docs).count() == 12
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, said string, i int"
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, None, None, None), (1, 2, "assistant", " "), (1, 3, "assistant", "more"), (None, 0, "assistant", "lost"), (2, 0, "assistant", "first")]

@@ -7,24 +7,10 @@ from collections import defaultdict
 import pyarrow as pa
 
 import corpus_pipeline
-from tidewheel.llm import crf, mixing, near_dup, packing, pii, toxicity
+from tidewheel.llm import mixing, near_dup, packing, pii, toxicity
 from tidewheel.llm.common import table
 
-from .test_against_brute_force import best_fit
-
-
-def whole_text_redaction(tag, text):
-    spans = [m.span() for m in pii.TOKEN.finditer(text)]
-    if not any(pii.ANCHOR.search(text, a, b) for a, b in spans):
-        return text
-    found, previous = [], 0
-    for k, (a, b) in zip(crf.decode([tag.features(text, spans)], tag.model)[0], spans, strict=True):
-        if k and k == previous:
-            found[-1] = (*found[-1][:2], b)
-        elif k:
-            found.append((pii.KINDS[k], a, b))
-        previous = k
-    return pii.masked(text, found)
+from .test_against_brute_force import best_fit, whole_text_findings
 
 
 def copies(docs):
@@ -70,7 +56,7 @@ def test_pipeline_matches_plain_python(spark, small):
 
     tag = pii.tagger()
     for r in rows:
-        r["text"] = whole_text_redaction(tag, r["text"])
+        r["text"] = pii.masked(r["text"], whole_text_findings(tag, r["text"]))
 
     taken = copies(rows)
     want, lengths = [], []

@@ -120,10 +120,6 @@ def on_texts(kind: str, each: Callable[[list[str | None]], list]) -> Callable[[C
     return F.arrow_udf(run, kind)
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    return docs
-
-
 def whole(docs: DataFrame) -> Column:
     """A row as the struct _row, so that a stage's own columns can't clash with any of its columns."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
