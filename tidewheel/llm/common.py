@@ -91,11 +91,12 @@ def scratch() -> Iterator[None]:
         release(since)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a task holds few texts as Python strings at a time."""
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
 
 
 #: Rows up to which a side of a join is copied to all tasks.
@@ -110,11 +111,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def on_texts(kind: str, each: Callable[[list[str | None]], list]) -> Callable[[Column], Column]:
     """A column function that gives each slice of texts to ``each``; a worker holds no more of them as Python strings at a time."""
 
+    of = {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}[kind]
+
     def run(texts: pa.Array) -> pa.Array:
-        out: list = []
-        for lo in range(0, len(texts), 512):
-            out += each(texts.slice(lo, 512).to_pylist())
-        return pa.array(out, {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}[kind])
+        out = [pa.array(each(texts.slice(lo, BATCH_ROWS).to_pylist()), of) for lo in range(0, len(texts), BATCH_ROWS)]
+        done = pa.concat_arrays(out) if out else pa.array([], of)
+        del out
+        pa.default_memory_pool().release_unused()
+        return done
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, kind)
