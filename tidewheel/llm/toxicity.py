@@ -518,4 +518,5 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op7_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score, toxic) of the documents found toxic, from scores of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return scores(docs, induce(docs, table(spark, sf_dir, "labels"))).filter("toxic").select("doc_id", "score", "toxic")
+    judged = scores(docs, induce(docs, table(spark, sf_dir, "labels"))).select("doc_id", "score", "toxic")
+    return written(judged, "toxic-scores").filter("toxic")  # small, and the texts go through small Arrow batches
