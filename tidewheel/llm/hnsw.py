@@ -6,9 +6,10 @@ to every shard: descent through the upper levels, then a beam of BEAM on the low
 all shards are kept. Searches run in lockstep over many queries, so that each step is one numpy operation. Insertion runs
 in batches of at most a sixteenth of the graph, whose members also see each other.
 
-Cost: shards and blocks of queries are of one size, so that a task holds a shard and a block, and what is shuffled
-is balanced between them. With n vectors there are (n / SHARD_ROWS)**2 tasks: choose SHARD_ROWS as large as
-executors' memory allows (about 400 bytes a row at 64 dimensions).
+Cost: tasks form a grid of groups of shards and blocks of queries; a task holds a group and a block and keeps the nearest of its group. Either side is
+copied to the tasks of its row or column only: with n vectors, groups and blocks are n / TASK_ROWS each, or about the square root of the cores if that is
+more, so that n * (groups + blocks) rows are moved and n * groups * (K + 1) results. As every vector is a query to every shard, searches are n * n / SHARD_ROWS:
+choose SHARD_ROWS and TASK_ROWS as large as executors' memory allows (about 400 bytes a row at 64 dimensions, and LANES bytes a row of a shard in search).
 
 Defined cases: rows without an id or vector, with nulls or NaNs in it, or of another length than the
 most frequent one are left out; an id that repeats counts once, with its least vector; a vector isn't its
@@ -18,6 +19,7 @@ fewer rows; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import table, written
 
 K = 10
-SHARD_ROWS = 16384
+SHARD_ROWS = 32768
+#: Rows of either side that a task of the search holds.
+TASK_ROWS = 131072
 #: Neighbours on upper levels (twice as many on the lowest), and the beams of insertion and search.
-LINKS, BUILD_BEAM, BEAM = 16, 64, 112
+LINKS, BUILD_BEAM, BEAM = 16, 64, 192
 #: Queries in lockstep, and the number of first vectors that are linked by comparing all.
 LANES, FIRST = 512, 128
 
@@ -213,7 +217,14 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return packed(int(key[0]), pdf["id"].to_numpy(np.int64), build(np.stack(pdf["vec"].to_numpy()).astype(np.float32)))
 
 
-def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def grid(n: int, parts: int, cores: int, task_rows: int = TASK_ROWS) -> tuple[int, int]:
+    """Groups of shards and blocks of queries."""
+    side = max(-(-n // task_rows), math.ceil(math.sqrt(cores)))
+    groups = min(parts, side)
+    return groups, max(-(-n // task_rows), -(-cores // groups))
+
+
+def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, neighbour, rank, distance): about the k nearest others of every vector, by Euclidean distance; id has the name of id_col."""
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<float>")
@@ -227,25 +238,31 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
     if usual is None:
         return spark.createDataFrame([], out)
     parts = -(-usual["count"] // shard_rows)
+    groups, blocks = grid(usual["count"], parts, spark.sparkContext.defaultParallelism, task_rows)
     rows = rows.filter(F.size("vec") == usual.dim).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     index = written(rows.groupBy("shard").applyInPandas(_build, INDEX), "hnsw-index")
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "neighbour": [], "d": []}).astype({"id": "int64", "neighbour": "int64", "d": "float64"})
-        ids, graph = unpacked(left.iloc[0])
         query = right["id"].to_numpy(np.int64)
         q = np.stack(right["vec"].to_numpy()).astype(np.float32)
-        at, d = search(graph, q, k + 1)
-        found = pd.DataFrame({"id": np.repeat(query, at.shape[1]), "at": at.ravel(), "d": d.ravel().astype(np.float64)})
-        found = found[found["at"] >= 0]
-        found["neighbour"] = ids[found["at"].to_numpy()]
-        return found.loc[found["neighbour"] != found["id"], ["id", "neighbour", "d"]]
-
-    block = F.pmod(F.hash("id"), F.lit(parts)).cast("int")
-    queries = rows.select("id", "vec", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("shard"))
-    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = shards.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(find, "id long, neighbour long, d double")
+        best_i, best_d = np.full((len(q), 0), -1, np.int64), np.full((len(q), 0), np.inf, np.float32)
+        for row in left.sort_values("shard").itertuples(index=False):
+            ids, graph = unpacked(row)
+            at, d = search(graph, q, k + 1)
+            best_i = np.concatenate([best_i, np.where(at >= 0, ids[at], -1)], axis=1)
+            best_d = np.concatenate([best_d, d], axis=1)
+            best_d[best_i == query[:, None]] = np.inf  # a vector isn't its own neighbour
+            order = np.lexsort((best_i, best_d), axis=1)[:, :k]
+            best_i, best_d = np.take_along_axis(best_i, order, 1), np.take_along_axis(best_d, order, 1)
+        fine = np.isfinite(best_d)
+        return pd.DataFrame({"id": np.broadcast_to(query[:, None], best_i.shape)[fine], "neighbour": best_i[fine], "d": best_d[fine].astype(np.float64)})
+
+    in_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = rows.select("id", "vec", F.pmod(F.hash("id"), F.lit(blocks)).cast("int").alias("block"), in_blocks(groups).alias("group"))
+    shards = index.withColumn("group", F.pmod("shard", F.lit(groups)).cast("int")).withColumn("block", in_blocks(blocks))
+    found = shards.groupBy("group", "block").cogroup(queries.groupBy("group", "block")).applyInPandas(find, "id long, neighbour long, d double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("id").alias(id_col), "neighbour", "rank", F.round(F.sqrt("d"), 6).alias("distance"))
 
