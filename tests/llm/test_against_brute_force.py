@@ -3,6 +3,7 @@
 import random
 import re
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -395,6 +396,42 @@ def test_groups_name_every_member(spark):
     assert len({got[i] for i in range(4)}) == 1 and got[4] != got[0] and 5 not in got
 
 
+def test_classes_count_every_link(spark):
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(vocab, k=r.randint(8, 40))) for _ in range(40)]
+    for _ in range(60):
+        words = r.choice(texts).split()
+        words[r.randrange(len(words))] = r.choice(vocab)
+        texts.append(" ".join(words))
+    texts += [t.upper() + "!" for t in texts[:50:2]] * 2  # other texts of equal signatures
+    rows = [(None if i % 17 == 0 else i // 2 if i % 5 == 0 else i, t) for i, t in enumerate(texts)] + [(900, None), (None, " "), (None, " "), (901, "...")]
+    _, sig = near_dup.signatures(pa.array(texts))
+    near = [[j for j in range(len(texts)) if j != i and (sig[i] == sig[j]).sum() >= near_dup.MATCHES] for i in range(len(texts))]
+    group = list(range(len(texts)))
+    for i, some in enumerate(near):
+        for j in some:
+            x, y = group[i], group[j]
+            group = [min(x, y) if g in (x, y) else g for g in group]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # rows keep their order and number
+    want = [(rows[i][0], group[i], len(some)) for i, some in enumerate(near)] + [(d, i, 0) for i, (d, _) in enumerate(rows) if i >= len(texts)]
+    assert Counter(map(tuple, near_dup.classes(docs).collect())) == Counter(want)
+    assert sum(map(len, near)) > 300
+
+
+def test_the_querys_rows_are_the_documents(spark):
+    for size in (30, 60):  # a cluster's pairs grow with its square, its rows don't
+        texts = ["one two three four five six seven eight nine ten eleven twelve " * 3 + f"x{i}" for i in range(size)]
+        got = near_dup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert sorted(r.doc_id for r in got) == list(range(size)) and {r.n_links for r in got} == {size - 1} and len({r.class_id for r in got}) == 1
+
+
+def test_pairs_of_repeated_ids(spark):
+    a, b = "one two three four five six seven eight", "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(5, a), (7, a.upper()), (5, b), (8, b.upper())], "doc_id long, text string")
+    assert {(x.doc_a, x.doc_b) for x in near_dup.pairs(docs).collect()} == {(5, 7), (5, 8), (7, 8)}
+
+
 def test_neighbours_recall(spark, small):
     rows = table(spark, small.replace("0.001", "0.1"), "embeddings")
     pdf = rows.toPandas()
