@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import crf, hnsw, near_dup, mixing, packing, pii, quality, token_counts, toxicity
+from tidewheel.llm import cells, crf, hnsw, near_dup, mixing, packing, pii, quality, token_counts, toxicity
 from tidewheel.llm.common import shared_dir, table
 
 
@@ -463,3 +463,40 @@ def test_index_row_round_trip():
     ids, back = hnsw.unpacked(hnsw.packed(0, np.arange(300), g).iloc[0])
     assert all((a[1] == b[1])[a[0]].all() for a, b in zip(g.levels, back.levels, strict=True))
     assert (hnsw.search(g, x, 5)[0] == hnsw.search(back, x, 5)[0]).all() and ids.tolist() == list(range(300))
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.1"])
+def test_cells_recall(spark, small, size):
+    rows = table(spark, small.replace("0.001", size), "embeddings")
+    pdf = rows.toPandas()
+    x, ids = np.stack(pdf.embedding).astype(np.float32), pdf.vec_id.to_numpy()
+    got = cells.neighbours(rows, sample_bytes=1024 * 256, task_bytes=300 * 256).toPandas()
+    asked = np.flatnonzero(ids % cells.EVERY == 0)
+    assert set(got.vec_id) == set(ids[asked]) and (got.groupby("vec_id").size() == 10).all()
+    d = np.square(x[asked][:, None] - x[None]).sum(2)
+    d[np.arange(len(asked)), asked] = np.inf
+    true = {int(ids[i]): set(ids[np.argsort(row)[:10]]) for i, row in zip(asked, d, strict=True)}
+    assert np.mean([len(true[k] & set(g.neighbour)) / 10 for k, g in got.groupby("vec_id")]) >= 0.9
+    at = {v: i for i, v in enumerate(ids)}
+    want = [np.linalg.norm(x[at[a]].astype(float) - x[at[b]]) for a, b in zip(got.vec_id, got.neighbour, strict=True)]
+    assert np.abs(want - got.distance).max() < 1e-5
+    assert (got.sort_values(["vec_id", "rank"]).groupby("vec_id").distance.diff().dropna() >= 0).all()
+
+
+def test_cells_of_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>, vec string, task int"
+    data = [(i, [float(i), 0.0]) for i in range(8)] + [(0, [9.0, 9.0]), (20, None), (21, [1.0]), (22, [float("nan"), 1.0]), (24, [float("inf"), 1.0]), (None, [1.0, 1.0]), (23, [1.0, None]), (50, [3.0, 0.0]), (-50, [3.0, 0.0])]
+    got = sorted(tuple(r) for r in cells.neighbours(spark.createDataFrame([(*d, "x", 1) for d in data], schema), 3).collect())
+    assert got == sorted([(-50, 3, 1, 0.0), (-50, 50, 2, 0.0), (-50, 2, 3, 1.0), (0, 1, 1, 1.0), (0, 2, 2, 2.0), (0, -50, 3, 3.0), (50, -50, 1, 0.0), (50, 3, 2, 0.0), (50, 2, 3, 1.0)])
+    empty = spark.createDataFrame([], schema)
+    assert cells.neighbours(empty).count() == 0 and cells.neighbours(spark.createDataFrame([(1, [1.0], "", 1)], schema)).count() == 0
+    assert cells.neighbours(spark.createDataFrame([(50, [1.0], "", 1)], schema)).count() == 0
+
+
+def test_cells_of_many_copies(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(3000)] + [(3000 + i, [float(i), -1.0]) for i in range(100)]
+    got = cells.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, task_bytes=8 * 400).toPandas()
+    near = got[got.vec_id < 3000].sort_values(["vec_id", "rank"]).groupby("vec_id").neighbour.apply(list)
+    assert len(near) == 60 and all(v == [i for i in range(6) if i != k][:5] for k, v in near.items()) and (got[got.vec_id < 3000].distance == 0).all()
+    first, parts, tasks = cells.layout(np.array([10.0, 950.0, 30.0, 60.0, 50.0]), 100)
+    assert first.tolist() == [0, 1, 11, 11, 12] and parts.tolist() == [1, 10, 1, 1, 1] and tasks == 13

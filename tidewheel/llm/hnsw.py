@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import table, written
+from tidewheel.llm.common import written
 
 K = 10
 SHARD_ROWS = 32768
@@ -265,7 +265,3 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
     found = shards.groupBy("group", "block").cogroup(queries.groupBy("group", "block")).applyInPandas(find, "id long, neighbour long, d double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("id").alias(id_col), "neighbour", "rank", F.round(F.sqrt("d"), 6).alias("distance"))
-
-
-def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "embeddings"))
